@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.functions.compose import composed
-from lexweave.functions.stage import evaluate, literal
+from lexweave.functions.stage import evaluate, evaluate_fields, let, literal
 from lexweave.rules import domains as D
 from lexweave.rules import rewrites as R
 
@@ -192,9 +192,6 @@ def normalize_corpus(
     all_particles = [(p, q, r) for d in words for p, (q, r) in particles[d].items()]
     hinted = F.col(hint).isin(*words) if hint else F.lit(False)
     source = composed(F.col(text), "NFKC") if compose else F.col(text)
-    s, f = f"__{prefix}surface", f"__{prefix}fixed"
-    regional, particle = f"__{prefix}regional", f"__{prefix}particle"
-    fixed_text = f"__{prefix}shielded"
 
     def per_hint(build) -> Column:
         out = build(merged, all_particles)
@@ -204,57 +201,82 @@ def normalize_corpus(
                 out = F.when(F.col(hint) == d, build(words[d], own)).otherwise(out)
         return out
 
-    scores = {d: f"__{prefix}score_{d}" for d in words}
-    out = evaluate(df, **{s: T.normalize_surface(source)})
-    out = evaluate(out, **{f: rewrite_phrases(F.col(s), fixes)})
-    out = evaluate(out, **{fixed_text: protect_term(F.col(f)["text"])})
+    def name(x: str) -> str:
+        return f"__{prefix}{x}"
+
+    out = evaluate(df, **{name("surface"): T.normalize_surface(source)})
+    out = evaluate_fields(
+        out, rewrite_phrases(F.col(name("surface")), fixes), name("fixed"), name("trace1")
+    )
+    out = evaluate(out, **{name("shielded"): protect_term(F.col(name("fixed")))})
+    shielded = F.col(name("shielded"))
+    scores = {d: name(f"score_{d}") for d in words}
     out = evaluate(
+        out, **{c: _dialect_score(shielded, d, words, particles) for d, c in scores.items()}
+    )
+    out = evaluate_fields(
         out,
-        **{c: _dialect_score(F.col(fixed_text), d, words, particles) for d, c in scores.items()},
-        **{regional: per_hint(lambda rules, _: rewrite_phrases(F.col(fixed_text), rules))},
+        per_hint(lambda rules, _: rewrite_phrases(shielded, rules)),
+        name("regional"),
+        name("trace2"),
     )
-    out = evaluate(
-        out, **{particle: per_hint(lambda _, ps: _particle_rewrite(F.col(regional)["text"], ps))}
+    out = evaluate_fields(
+        out,
+        per_hint(lambda _, ps: _particle_rewrite(F.col(name("regional")), ps)),
+        name("final"),
+        name("trace3"),
     )
     detected = detect_region({d: F.col(c) for d, c in scores.items()})
     region = F.when(hinted, F.col(hint)).otherwise(detected) if hint else detected
-    out = out.withColumns(
+    inner = [name(x) for x in ("surface", "fixed", "shielded", "regional", "final")]
+    traces = [name(f"trace{i}") for i in (1, 2, 3)]
+    return out.withColumns(
         {
-            f"{prefix}normalized_text": F.nullif(
-                restore_term(F.col(particle)["text"]), F.lit("")
-            ),
+            f"{prefix}normalized_text": F.nullif(restore_term(F.col(name("final"))), F.lit("")),
             f"{prefix}normalizer_region": region,
-            f"{prefix}matched_variants": F.concat(
-                F.col(f)["trace"], F.col(regional)["trace"], F.col(particle)["trace"]
-            ),
+            f"{prefix}matched_variants": F.concat(*traces),
         }
-    )
-    return out.drop(s, f, fixed_text, regional, particle, *scores.values())
+    ).drop(*inner, *traces, *scores.values())
 
 
 def normalized_value(value: Column, region: Column) -> Column:
     """The rewritten form of one short value under a row's own region, for use in lambdas."""
 
-    def run(rules, ps) -> Column:
-        fixed = protect_term(
-            rewrite_phrases(T.normalize_surface(value), R.TRANSCRIPTION_FIXES)["text"]
+    def run(fixed: Column, rules, ps) -> Column:
+        return let(
+            rewrite_phrases(fixed, rules)["text"],
+            lambda t: restore_term(_particle_rewrite(t, ps)["text"]),
+        )
+
+    def fixed_value(body) -> Column:
+        return let(
+            T.normalize_surface(value),
+            lambda s: let(
+                rewrite_phrases(s, R.TRANSCRIPTION_FIXES)["text"],
+                lambda f: let(protect_term(f), body),
+            ),
         )
-        regional = rewrite_phrases(fixed, rules)["text"]
-        return restore_term(_particle_rewrite(regional, ps)["text"])
 
     merged = check_conflicts(R.DIALECT_WORDS)
-    out = run(merged, [(p, q, r) for d in D.DIALECTS for p, (q, r) in R.PARTICLES[d].items()])
-    for d in D.DIALECTS:
-        own = [(p, q, r) for p, (q, r) in R.PARTICLES[d].items()]
-        out = F.when(region == d, run(R.DIALECT_WORDS[d], own)).otherwise(out)
-    return out
+    everything = [(p, q, r) for d in D.DIALECTS for p, (q, r) in R.PARTICLES[d].items()]
+
+    def by_region(fixed: Column) -> Column:
+        out = run(fixed, merged, everything)
+        for d in D.DIALECTS:
+            own = [(p, q, r) for p, (q, r) in R.PARTICLES[d].items()]
+            out = F.when(region == d, run(fixed, R.DIALECT_WORDS[d], own)).otherwise(out)
+        return out
+
+    return fixed_value(by_region)
 
 
 def normalize_slots(slots: Column, region: Column, normalized_text: Column) -> Column:
     """Normalise each slot value; keep the new value only where the new text still shows it."""
 
     def pick(slot: Column, value: Column) -> Column:
-        candidate = normalized_value(value, region)
-        return F.when(T.slot_in_text(slot, candidate, normalized_text), candidate).otherwise(value)
+        return let(
+            normalized_value(value, region),
+            lambda c: F.when(T.slot_in_text(slot, c, normalized_text), c).otherwise(value),
+        )
 
     return F.transform_values(slots, lambda k, vs: F.transform(vs, lambda v: pick(k, v)))

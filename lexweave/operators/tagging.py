@@ -147,22 +147,20 @@ def tag_reminder(
 def tag_columns(
     df: DataFrame, text: str = "normalized_text", dictionaries: Dictionaries | None = None
 ) -> DataFrame:
-    """Add ``tags``, a struct of every slot's candidate. Which of them count depends on intent."""
+    """Add ``tag_<slot>`` columns with every slot's candidate. Which count depends on intent."""
     d = dictionaries or Dictionaries()
     out = evaluate(df, __t=T.normalize_surface(F.col(text)))
     out = evaluate(out, __f=T.strip_diacritics(F.col("__t")))
     t, f = F.col("__t"), F.col("__f")
-    out = evaluate(out, __d=tag_datetime(t, f, d), __p=tag_phone(t))
-    tags = F.struct(
-        F.col("__d").alias("datetime"),
-        tag_location(t, f, d).alias("location"),
-        tag_song(t, f, d).alias("song"),
-        tag_artist(t, f, d).alias("artist"),
-        F.when(F.col("__p").isNull(), tag_contact(t, f, d)).alias("contact_name"),
-        F.col("__p").alias("phone_number"),
-        tag_reminder(t, f, F.col("__d"), d).alias("reminder_text"),
-    )
-    return evaluate(out, tags=tags).drop("__t", "__f", "__d", "__p")
+    out = evaluate(out, tag_datetime=tag_datetime(t, f, d), tag_phone_number=tag_phone(t))
+    return evaluate(
+        out,
+        tag_location=tag_location(t, f, d),
+        tag_song=tag_song(t, f, d),
+        tag_artist=tag_artist(t, f, d),
+        tag_contact_name=F.when(F.col("tag_phone_number").isNull(), tag_contact(t, f, d)),
+        tag_reminder_text=tag_reminder(t, f, F.col("tag_datetime"), d),
+    ).drop("__t", "__f")
 
 
 # Slots in the order they are reported.
@@ -175,18 +173,16 @@ _ORDER = {
 }
 
 
-def slots_by_intent(
-    intent: Column, tags: Column, order: Mapping[str, Sequence[str]] = _ORDER
-) -> Column:
-    """Slot map holding only what the intent allows."""
+def slots_by_intent(intent: Column, order: Mapping[str, Sequence[str]] = _ORDER) -> Column:
+    """Slot map of a tagged row, holding only what the intent allows."""
     out = F.map_from_arrays(F.array(), F.array()).cast("map<string,array<string>>")
     result = None
     for name, slots in order.items():
         entries = F.array(
             *[
                 F.when(
-                    tags[s].isNotNull(),
-                    F.struct(F.lit(s).alias("key"), F.array(tags[s]).alias("value")),
+                    F.col(f"tag_{s}").isNotNull(),
+                    F.struct(F.lit(s).alias("key"), F.array(f"tag_{s}").alias("value")),
                 )
                 for s in slots
             ]
@@ -214,7 +210,7 @@ def extract_by_intent(
 ) -> DataFrame:
     """Tag rows and keep the slots their intent allows."""
     tagged = tag_columns(df, text, dictionaries)
-    return tagged.withColumn(output, slots_by_intent(F.col(intent), F.col("tags")))
+    return tagged.withColumn(output, slots_by_intent(F.col(intent)))
 
 
 def oracle_and_runtime(
@@ -225,7 +221,7 @@ def oracle_and_runtime(
     tagged = tag_columns(df, text, dictionaries)
     return tagged.withColumns(
         {
-            "oracle_slots": slots_by_intent(F.col(gold), F.col("tags")),
-            "runtime_slots": slots_by_intent(F.col(predicted), F.col("tags")),
+            "oracle_slots": slots_by_intent(F.col(gold)),
+            "runtime_slots": slots_by_intent(F.col(predicted)),
         }
     )

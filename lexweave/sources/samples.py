@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,7 +99,10 @@ def read_challenges(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def read_preprocessed(spark: SparkSession, path: str) -> DataFrame:
     """The prepared corpus; an empty one is an error."""
-    rows = spark.read.parquet(path)
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as error:
+        raise ValueError(f"no prepared corpus: {path}") from error
     if rows.isEmpty():
         raise ValueError(f"prepared corpus is empty: {path}")
     return rows

@@ -300,8 +300,8 @@ def q_preprocess(spark, d):
     "q_judgments",
     """WITH j AS (SELECT l_orderkey, count(*) AS n,
         count(*) FILTER (l_quantity >= 20) AS iv, count(*) FILTER (l_returnflag <> 'R') AS lv,
-        count(*) FILTER (l_linenumber IN (1, 2)) AS sv, avg(l_quantity / 10) AS g,
-        avg(l_discount * 40) AS s FROM lineitem GROUP BY l_orderkey)
+        count(*) FILTER (l_linenumber IN (1, 2)) AS sv, avg((l_quantity // 10)::INT) AS g,
+        avg(round(l_discount * 100)::INT) AS s FROM lineitem GROUP BY l_orderkey)
     SELECT l_orderkey, n >= 2 AND iv >= 2 AND lv >= 2 AND sv >= 2 AND g >= 3.5 AND s >= 1.5 AS good FROM j""",
 )
 def q_judgments(spark, d):
@@ -313,8 +313,8 @@ def q_judgments(spark, d):
         (F.col("l_quantity") >= 20).cast("int").alias("intent_score"),
         F.when(F.col("l_returnflag") != "R", "target").otherwise("other").alias("language_identification"),
         F.col("l_linenumber").alias("slots_score"),
-        (F.col("l_quantity") / 10).alias("grammar_score"),
-        (F.col("l_discount") * 40).alias("spelling_score"),
+        F.floor(F.col("l_quantity") / 10).cast("double").alias("grammar_score"),
+        F.round(F.col("l_discount") * 100).alias("spelling_score"),
     )
     grouped = x.groupBy("l_orderkey").agg(F.collect_list(one).alias("judgments"))
     return grouped.select("l_orderkey", B.judgments_ok(F.col("judgments")).alias("good"))

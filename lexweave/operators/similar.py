@@ -51,9 +51,9 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     )
 
 
-def _bits(tokens: Column) -> Column:
+def _bits(hashes: Column) -> Column:
     """64-bit sketch of a token set."""
-    places = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))
+    places = F.transform(hashes, lambda h: F.pmod(h, F.lit(64)).cast("int"))
     one = F.lit(1).cast("bigint")
     return F.aggregate(
         F.array_distinct(places),
@@ -62,21 +62,21 @@ def _bits(tokens: Column) -> Column:
     )
 
 
-def frequent_tokens(*sides: DataFrame) -> list[str]:
-    """The most frequent tokens, rarest of them first. A list of fixed length."""
+def frequent_tokens(*sides: DataFrame) -> list[int]:
+    """Hashes of the most frequent tokens, rarest of them first. A list of fixed length."""
     tokens = None
     for side in sides:
-        part = side.select(F.explode("tokens").alias("token"))
+        part = side.select(F.explode("hashes").alias("token"))
         tokens = part if tokens is None else tokens.unionByName(part)
     top = tokens.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token")
     return [row["token"] for row in reversed(top.limit(FREQUENT_TOKENS).collect())]
 
 
-def _postings(side: DataFrame, rule: Similarity, frequent: list[str], spread: bool) -> DataFrame:
+def _postings(side: DataFrame, rule: Similarity, frequent: list[int], spread: bool) -> DataFrame:
     """One row per prefix token and length band."""
-    late = literal(frequent, "array<string>")
-    rare = F.array_sort(F.transform(F.array_except("tokens", late), lambda t: F.xxhash64(t)))
-    common = F.transform(F.array_intersect(late, "tokens"), lambda t: F.xxhash64(t))
+    late = literal(frequent, "array<bigint>")
+    rare = F.array_sort(F.array_except("hashes", late))
+    common = F.array_intersect(late, "hashes")
     n = F.size("tokens")
     chars = F.char_length("text")
     prefix = F.slice(F.concat(rare, common), 1, n - F.ceil(n * rule.jaccard - 1e-9).cast("int") + 1)
@@ -84,12 +84,14 @@ def _postings(side: DataFrame, rule: Similarity, frequent: list[str], spread: bo
     band = F.floor(F.log(chars.cast("double")) / width).cast("int")
     bands = F.array(band - 1, band, band + 1) if spread else F.array(band)
     sized = side.where(n > 0).select(
-        "key", "part", n.alias("n"), chars.alias("chars"), _bits(F.col("tokens")).alias("bits"),
+        "key", "part", n.alias("n"), chars.alias("chars"), _bits(F.col("hashes")).alias("bits"),
         bands.alias("bands"), prefix.alias("prefix"),
     )
     return sized.select(
         "key", "part", "n", "chars", "bits", F.explode("bands").alias("band"), "prefix"
-    ).select("key", "part", "n", "chars", "bits", "band", F.explode("prefix").alias("token"))
+    ).select(
+        "key", "part", "n", "chars", "bits", "band", F.posexplode("prefix").alias("pos", "token")
+    )
 
 
 def _candidates(left: DataFrame, right: DataFrame, rule: Similarity) -> DataFrame:
@@ -103,12 +105,15 @@ def _candidates(left: DataFrame, right: DataFrame, rule: Similarity) -> DataFram
     only_b = F.bit_count(F.col("b.bits").bitwiseAND(F.bitwise_not(F.col("a.bits"))))
     close = F.least(c_a, c_b) >= F.greatest(c_a, c_b) * (rule.length - 1e-9)
     possible = (n_a - only_a >= need) & (n_b - only_b >= need)
+    # At the first shared token, only later tokens can add to the overlap.
+    rest = F.least(n_a - F.col("a.pos"), n_b - F.col("b.pos"))
     joined = a.join(
         b,
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.band") == F.col("b.band"))
         & (F.col("a.part") < F.col("b.part"))
         & close
+        & (rest >= need)
         & possible,
     )
     return joined.select(F.col("a.key").alias("left"), F.col("b.key").alias("right")).distinct()
@@ -117,9 +122,21 @@ def _candidates(left: DataFrame, right: DataFrame, rule: Similarity) -> DataFram
 def _verified(
     candidates: DataFrame, left: DataFrame, right: DataFrame, rule: Similarity
 ) -> DataFrame:
-    """Exact tests on candidate pairs: ``(left, right, jaccard, score)``."""
-    sides = candidates.join(
-        left.select(F.col("key").alias("left"), F.col("text").alias("lt"), F.col("tokens").alias("la")),
+    """Exact tests on candidate pairs: ``(left, right, jaccard, score)``.
+
+    Most candidates fail on token overlap, so that test joins only 64-bit token hashes; texts
+    travel for the pairs that pass, and the overlap is then taken on the tokens themselves.
+    """
+    hashed = candidates.join(
+        left.select(F.col("key").alias("left"), F.col("hashes").alias("lh")), "left"
+    ).join(right.select(F.col("key").alias("right"), F.col("hashes").alias("rh")), "right")
+    close = hashed.where(
+        _jaccard(F.col("lh"), F.col("rh")) >= rule.jaccard - 1e-9
+    ).select("left", "right")
+    sides = close.join(
+        left.select(
+            F.col("key").alias("left"), F.col("text").alias("lt"), F.col("tokens").alias("la")
+        ),
         "left",
     ).join(
         right.select(
@@ -127,14 +144,12 @@ def _verified(
         ),
         "right",
     )
-    shared = F.size(F.array_intersect("la", "ra"))
-    jaccard = shared / (F.size("la") + F.size("ra") - shared)
     lengths = F.least(F.char_length("lt"), F.char_length("rt")) / F.greatest(
         F.char_length("lt"), F.char_length("rt")
     )
-    passed = sides.withColumns({"jaccard": jaccard, "lengths": lengths}).where(
-        (F.col("jaccard") >= rule.jaccard) & (F.col("lengths") >= rule.length)
-    )
+    passed = sides.withColumns(
+        {"jaccard": _jaccard(F.col("la"), F.col("ra")), "lengths": lengths}
+    ).where((F.col("jaccard") >= rule.jaccard) & (F.col("lengths") >= rule.length))
     if rule.sequence is None:
         return passed.select("left", "right", "jaccard", F.col("jaccard").alias("score"))
     scored = passed.withColumn("score", sequence_ratio("lt", "rt"))
@@ -143,6 +158,17 @@ def _verified(
     )
 
 
+def _jaccard(a: Column, b: Column) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return shared / (F.size(a) + F.size(b) - shared)
+
+
+def _token_columns(text: Column) -> dict[str, Column]:
+    """Distinct tokens of a text and their hashes."""
+    tokens = F.array_distinct(T.words(text))
+    return {"tokens": tokens, "hashes": F.transform(tokens, lambda t: F.xxhash64(t))}
+
+
 def _blank_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Two texts without tokens are similar only when both are empty; a side has at most one."""
     a = left.where(F.col("text") == "").select(F.col("key").alias("left"), F.col("part").alias("lp"))
@@ -164,7 +190,7 @@ def similar_pairs(
     left: DataFrame,
     right: DataFrame,
     rule: Similarity = Similarity(),
-    frequent: list[str] | None = None,
+    frequent: list[int] | None = None,
 ) -> DataFrame:
     """All similar pairs of two sides: ``(left, right, jaccard, score)``.
 
@@ -183,7 +209,7 @@ def similar_keys(
     left: DataFrame,
     right: DataFrame,
     rule: Similarity = Similarity(),
-    frequent: list[str] | None = None,
+    frequent: list[int] | None = None,
     hot: int = HOT_POSTINGS,
 ) -> DataFrame:
     """Left keys with at least one similar text on the right.
@@ -220,8 +246,7 @@ def templates(df: DataFrame, text: str, id_col: str = "id", split: str = "split"
         F.concat_ws(":", "part", "id").alias("key"),
         "id",
         "text",
-        F.array_distinct(T.words(F.col("text"))).alias("tokens"),
-    )
+    ).withColumns(_token_columns(F.col("text")))
 
 
 def near_dup_pairs(
@@ -298,9 +323,7 @@ def cross_split_anti(
     )
     reps = cut_lineage(firsts.withColumn("key", text_key(F.col("text"))))
     distinct = cut_lineage(
-        first_per_key(reps.select("split", "key", "text"), ["split", "key"], [F.col("key")]).select(
-            "split", "key", "text", F.array_distinct(T.words(F.col("text"))).alias("tokens")
-        )
+        first_per_key(reps.select("split", "key", "text"), ["split", "key"], [F.col("key")]).withColumns(_token_columns(F.col("text")))
     )
     frequent = frequent_tokens(distinct)
 

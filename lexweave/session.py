@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_BYTES = 32 << 20
+
 
 def build_session(app: str = "lexweave", **conf: str) -> SparkSession:
     builder = (
@@ -42,6 +44,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Write ``df`` once and mark it for broadcast only when its measured size allows; beyond that
+    the caller's join shuffles as usual."""
+    held = cut_lineage(df)
+    size = held.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(held) if size <= limit else held
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A rule table known in code. Its size is fixed by the rule set, so joins may broadcast it."""
     return F.broadcast(spark.createDataFrame(rows, schema))

@@ -77,15 +77,13 @@ def q_tfidf_char(spark, d):
 
 
 def _labelled(spark, d):
-    x = documents(spark, d, "doc_id", "text").withColumnRenamed("doc_id", "id")
-    y = read_table(spark, d, "labels", "doc_id", "quality").select(
-        F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("intent")
-    )
-    return (
-        x.join(y, "id")
-        .withColumn("normalized_text", T.normalize_surface(F.col("text")))
-        .withColumn("split", split_of(F.col("id")))
-        .drop("text")
+    """Conversation turns with their role as label; a conversation stays in one split."""
+    x = read_table(spark, d, "conversations", "conv_id", "turn", "role", "text")
+    return x.select(
+        F.concat_ws("_", "conv_id", "turn").alias("id"),
+        F.col("role").alias("intent"),
+        T.normalize_surface(F.col("text")).alias("normalized_text"),
+        split_of(F.col("conv_id")).alias("split"),
     )
 
 
@@ -124,9 +122,13 @@ def q_model_compare(spark, d):
     x = _labelled(spark, d)
     held = x.where("split <> 'train'").withColumn("expected", F.col("intent"))
     model = K.train_ngram(x.where("split = 'train'"), K.CANDIDATES[0])
-    rules = {"0": (r"\d{3}", r"[|#%]"), "1": (r"\bthe\b", r"\ble\b", r"\bund\b", r"\blos\b")}
+    rules = {
+        "user": (r"\?\s*$", r"^.{1,400}$"),
+        "assistant": (r"^.{401,}$", r"^.{800,}$"),
+        "system": (r"\bsystem\b",),
+    }
     base = G.rule_classify(held, "normalized_text", rules)
-    out = K.model_compare(base, model.score(held), ["0", "1"])
+    out = K.model_compare(base, model.score(held), ["assistant", "system", "user"])
     return out.withColumns({c: r6(c) for c in ("accuracy", "macro_f1", "weighted_f1")})
 
 
@@ -300,8 +302,8 @@ def q_preprocess(spark, d):
     "q_judgments",
     """WITH j AS (SELECT l_orderkey, count(*) AS n,
         count(*) FILTER (l_quantity >= 20) AS iv, count(*) FILTER (l_returnflag <> 'R') AS lv,
-        count(*) FILTER (l_linenumber IN (1, 2)) AS sv, avg((l_quantity // 10)::INT) AS g,
-        avg(round(l_discount * 100)::INT) AS s FROM lineitem GROUP BY l_orderkey)
+        count(*) FILTER (l_linenumber IN (1, 2)) AS sv, avg(floor(l_quantity / 10)) AS g,
+        avg(round(l_discount * 100)) AS s FROM lineitem GROUP BY l_orderkey)
     SELECT l_orderkey, n >= 2 AND iv >= 2 AND lv >= 2 AND sv >= 2 AND g >= 3.5 AND s >= 1.5 AS good FROM j""",
 )
 def q_judgments(spark, d):

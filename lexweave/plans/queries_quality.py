@@ -26,7 +26,6 @@ from lexweave.sources.sinks import manifest
 from lexweave.sources.tables import read_table
 
 DIMENSIONS = ("lang", "source", "quality")
-_CANON = T.canonical_text(F.lit("")) if False else None
 
 
 def canonical():
@@ -499,7 +498,6 @@ def q_near_dup_sequence(spark, d):
     f"""WITH base AS (SELECT doc_id, {sql_split('doc_id')} AS split, {sql_folded('text')} AS text
         FROM documents),
     u AS (SELECT min(doc_id) AS id, split, text FROM base GROUP BY split, text), {SQL_PAIRS},
-    same AS (SELECT a.id AS l, b.id AS r FROM u a JOIN u b ON a.text = b.text AND a.id <> b.id),
     badv AS (SELECT DISTINCT l FROM pairs WHERE lp = 1 AND rp = 2),
     badt AS (SELECT DISTINCT l FROM pairs WHERE lp = 0
       AND (rp = 2 OR r NOT IN (SELECT l FROM badv))),

@@ -299,7 +299,7 @@ def _sql_hits(lang: str) -> str:
 @query(
     "q_region_detect",
     f"""WITH c AS (SELECT doc_id, string_split({sql_canonical('text')}, ' ') AS w FROM documents),
-    s AS (SELECT doc_id, {", ".join(f"{_sql_hits(k)} + {3 if k == 'en' else 0} * 0 AS {k}_" for k in WORDS)} FROM c),
+    s AS (SELECT doc_id, {", ".join(f"{_sql_hits(k)} AS {k}_" for k in WORDS)} FROM c),
     b AS (SELECT *, greatest(en_, fr_, de_, es_) AS best FROM s)
     SELECT doc_id, CASE WHEN best = 0 THEN 'standard'
       WHEN (en_ = best)::INT + (fr_ = best)::INT + (de_ = best)::INT + (es_ = best)::INT > 1
@@ -438,10 +438,6 @@ def q_required_slots(spark, d):
     return x.select("id", F.array_join(missing, "|").alias("missing"))
 
 
-_PAIRS = f"""w AS (SELECT doc_id, string_split({sql_surface('text')}, ' ') AS w,
-      {sql_surface('text')} AS t FROM documents)"""
-
-
 def _learned(spark, d):
     """Lexicon of the word pairs that open a document, a slot per language."""
     x = documents(spark, d, "doc_id", "text", "lang")

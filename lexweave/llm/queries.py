@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import bpe
+from lexweave.llm.bag_minhash import duplicate_classes
+from lexweave.llm.line_templates import line_report
 from lexweave.llm.support import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +40,15 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op7_line_templates")
+def op7_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: lines, lines of recurring templates, digest of what remains."""
+    return line_report(read(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op8_bag_minhash")
+def op8_bag_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: its class of near duplicates and the class's size."""
+    return duplicate_classes(read(spark, folder, "documents", "doc_id", "text"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from lexweave.llm import bpe
 from lexweave.llm.bag_minhash import duplicate_classes
+from lexweave.llm.contamination import leaks
 from lexweave.llm.line_templates import line_report
+from lexweave.llm.positive_unlabelled import is_held_out, score, train
 from lexweave.llm.support import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +54,25 @@ def op7_line_templates(spark: SparkSession, folder: str) -> DataFrame:
 def op8_bag_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Per document: its class of near duplicates and the class's size."""
     return duplicate_classes(read(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op3_contamination")
+def op3_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and benchmark item of which it holds a copy or an edited copy."""
+    return leaks(
+        read(spark, folder, "documents", "doc_id", "text"),
+        read(spark, folder, "benchmark", "item_id", "text"),
+    )
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality score of every document."""
+    documents = read(spark, folder, "documents", "doc_id", "text")
+    scorer = train(documents, read(spark, folder, "labels", "doc_id", "quality"))
+    return score(documents, scorer).select(
+        "doc_id",
+        is_held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )

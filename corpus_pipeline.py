@@ -6,13 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm.stages import encode_stage
+from lexweave.llm import stages
 from lexweave.session import ensure_checkpoint_dir
 
 STAGES = [
-    ("bpe_encoding", encode_stage),
+    ("quality_classifier", stages.classify),
+    ("line_dedup", stages.dedup_lines),
+    ("minhash_near_dedup", stages.dedup_documents),
+    ("benchmark_decontamination", stages.decontaminate),
+    ("bpe_encoding", stages.encode),
 ]
-#: The classifier and the alignment cannot be said in SQL; tests compare with brute force.
+#: The classifier and the alignment cannot be said in SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import bpe
+from lexweave.llm import bpe, chat, warc
 from lexweave.llm.bag_minhash import duplicate_classes
 from lexweave.llm.contamination import leaks
 from lexweave.llm.line_templates import line_report
 from lexweave.llm.positive_unlabelled import is_held_out, score, train
 from lexweave.llm.support import read
+from lexweave.llm.url_trust import verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,3 +77,55 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
     )
+
+
+@query("op2_url_trust")
+def op2_url_trust(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's verdict, by the longest rule or by its host's trust and distrust."""
+    return verdicts(read(spark, folder, "pages", "page_id", "url", "html"))
+
+
+SQL_CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'),
+                   (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+sized AS (
+  SELECT *, length(role) + length(text) + 14
+         + 2 * 0 + length(regexp_replace(text, '[^\\#<]', '', 'g'))
+         + length(regexp_replace(role, '[^\\#<:\n]', '', 'g')) AS size
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+         AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), ''))
+         AS loss_sha256,
+       sum(size)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+
+@query("op6_chat_prefix_targets", SQL_CHAT)
+def op6_chat_prefix_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """Format every conversation, and read turns and replies back from the formatted strings."""
+    turns = read(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.read_back(chat.format_turns(turns.unionByName(own)))
+
+
+SQL_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha256(h) AS digest FROM p),
+f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
+SELECT d.page_id, d.n::BIGINT AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN coalesce(f.first, d.page_id) = d.page_id THEN 'response' ELSE 'revisit' END
+         AS record_type,
+       CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to
+FROM d LEFT JOIN f ON f.digest = d.digest"""
+
+
+@query("op9_warc_chunks", SQL_WARC)
+def op9_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Write an archive record for every page and read the archive's files back."""
+    return warc.round_trip(read(spark, folder, "pages", "page_id", "url", "html"))

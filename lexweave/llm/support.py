@@ -72,3 +72,37 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+#: Bits of the map that :func:`may_be_among` broadcasts: 1 MB of bits, about 2 MB as rows.
+MAP_BITS = 23
+
+
+def may_be_among(df: DataFrame, own: Column, keys: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: false where ``own``, a 64-bit hash, is surely not in the one column of ``keys``.
+
+    The keys set bits of a map of fixed size, which is broadcast however many keys there are; with
+    very many it merely tells less. Rows flagged true still need the exact join, the others don't.
+    """
+    word, bit = fresh("map_word", [*df.columns, name]), fresh("map_bits", [*df.columns, name])
+    key = keys.columns[0]
+    rest = 64 - MAP_BITS
+
+    def place(h: Column) -> Column:
+        return F.shiftrightunsigned(h, rest)
+
+    bits = (
+        keys.select(place(F.col(key)).alias("place"))
+        .select(
+            F.shiftrightunsigned("place", 6).cast("int").alias(word),
+            F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"),
+        )
+        .groupBy(word)
+        .agg(F.bit_or("bit").alias(bit))
+    )
+    joined = df.withColumn(name, place(own)).withColumn(
+        word, F.shiftrightunsigned(name, 6).cast("int")
+    )
+    joined = joined.join(F.broadcast(bits), word, "left")
+    is_set = F.expr(f"(shiftright(`{bit}`, cast(`{name}` & 63 as int)) & 1) = 1")
+    return joined.withColumn(name, F.coalesce(is_set, F.lit(False))).drop(word, bit)

@@ -36,7 +36,7 @@ RUNS = (regex.compile(r"\p{L}*"), regex.compile(r"\p{N}*"), regex.compile(r"[^\s
 #: A space that does not start a piece. Python's own class holds all white space of the pattern.
 LOOSE = re.compile(r" (?=\s|$)")
 START = re.compile(r" (?=\S)")
-MEMO = 1 << 19
+MEMO = 1 << 18
 EMPTY, NONE = np.uint64(2**64 - 1), np.int32(2**31 - 1)
 
 

@@ -13,6 +13,8 @@ from lexweave.llm.bag_minhash import duplicate_classes
 from lexweave.llm.contamination import leaks
 from lexweave.llm.line_templates import line_report
 from lexweave.llm.positive_unlabelled import is_held_out, score, train
+from lexweave.llm.robust_outliers import with_verdicts
+from lexweave.llm.suffix_repeats import repeats
 from lexweave.llm.support import read
 from lexweave.llm.url_trust import verdicts
 
@@ -129,3 +131,16 @@ FROM d LEFT JOIN f ON f.digest = d.digest"""
 def op9_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Write an archive record for every page and read the archive's files back."""
     return warc.round_trip(read(spark, folder, "pages", "page_id", "url", "html"))
+
+
+@query("op4_robust_outliers")
+def op4_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's base statistics and its verdict within its language and source."""
+    documents = read(spark, folder, "documents", "doc_id", "text", "lang", "source")
+    return with_verdicts(documents).drop("lang", "source", "distance")
+
+
+@query("op10_suffix_repeats")
+def op10_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that shares a passage of 50 words or more with another text."""
+    return repeats(read(spark, folder, "documents", "doc_id", "text"))

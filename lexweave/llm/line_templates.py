@@ -4,12 +4,12 @@ A line's place in the tree of fixed depth is its token count and its first four
 with a digit, an at sign or a scheme counting as a variable field. Below that node the rest of the
 line is cut into five equal parts, and a template is the line as it is, or with one part
 generalised: lines of one template agree in their leading tokens and in at least 0.8 of all.
-A template recurs if lines of at least ``min_docs`` unrelated texts have it; all its lines go.
+A template recurs if lines of at least ``min_docs`` texts have it; all its lines go.
 
-Texts are told apart by content, so exact copies count once. Two texts are taken for related if
-they share their longest line; a template counts only if it has ``min_docs`` different longest
-lines and at least half as many as texts. So a group of near copies, however large, keeps its lines
-for the document stages, and a line that is itself the longest counts by its whole text.
+Texts are told apart by content, so exact copies count once, and near copies shall not make each
+other's lines recur either: a text of whose characters more than half lie in templates of many
+texts is a copy, and templates are counted once more without the copies. So a group of near copies,
+however large, keeps its lines for the document stages, and loses what others have too.
 
 Cases: a null text stays null; blank lines stay; a text of which every line goes becomes empty.
 Repeated rows are treated alike, ids are not used, and every other column passes unchanged.
@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.stage import evaluate
-from lexweave.llm.support import fresh, text_key
+from lexweave.llm.support import fresh, may_be_among, text_key
+from lexweave.session import cut_lineage
 
 LEADING, PARTS = 4, 5
 FIELD = r"\S*(?:[0-9@]|://)\S*"
@@ -32,23 +33,19 @@ def _lines(text: str) -> Column:
 
 
 def parse_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per line with tokens: key, line_no, kin (the longest line), leaf, and part hashes."""
+    """One row per line with tokens: key, line_no, share of the text, leaf, and part hashes."""
     rows = docs.where(F.col(text).isNotNull()).select(
-        text_key(F.col(text)).alias("key"), _lines(text).alias("lines")
+        text_key(F.col(text)).alias("key"),
+        F.length(text).alias("all_chars"),
+        F.posexplode(_lines(text)).alias("line_no", "line"),
     )
-    longest = F.array_max(
-        F.transform(
-            "lines",
-            lambda x: F.named_struct(F.lit("n"), F.length(x), F.lit("h"), F.xxhash64(x)),
-        )
-    )["h"]
-    lines = rows.select("key", longest.alias("kin"), F.posexplode("lines").alias("line_no", "line"))
+    share = F.length("line") / F.greatest("all_chars", F.lit(1))
+    lines = rows.select("key", "line_no", share.alias("share"), "line")
     line = F.trim("line")
     masked = F.when(line.rlike(r"[0-9@]|://"), F.regexp_replace(line, FIELD, "<*>")).otherwise(line)
     cut = evaluate(
         lines.where(F.trim("line") != ""),
         tokens=F.split(masked, r"\s+"),
-        own=F.xxhash64("line"),
     )
     n = F.size("tokens")
     rest = F.greatest(n - LEADING, F.lit(0))
@@ -61,7 +58,7 @@ def parse_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return cut.select(
         "key",
         "line_no",
-        F.when(F.col("own") == F.col("kin"), F.xxhash64("key")).otherwise(F.col("kin")).alias("kin"),
+        "share",
         F.xxhash64(n, F.slice("tokens", 1, LEADING)).alias("leaf"),
         *[part(i).alias(f"part{i}") for i in range(PARTS)],
     )
@@ -89,21 +86,33 @@ def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 8) -> D
             ],
         )
     )
-    candidates = lines.join(busy, "leaf").select(
-        "key", "line_no", "kin", F.explode(templates).alias("template")
-    )
-    recurring = (
-        candidates.groupBy("template", "kin", "key")
+    candidates = cut_lineage(
+        lines.join(busy, "leaf")
+        .groupBy("key", "line_no", "share", templates.alias("templates"))
         .agg(F.lit(1).alias("one"))
-        .groupBy("template", "kin")
-        .agg(F.count("*").alias("texts"))
-        .groupBy("template")
-        .agg(F.count("*").alias("kins"), F.sum("texts").alias("texts"))
-        .where((F.col("kins") >= min_docs) & (F.col("kins") * 2 >= F.col("texts")))
-        .select("template")
+        .select("key", "line_no", "share", F.explode("templates").alias("template"))
+    )
+
+    def recurring(rows: DataFrame) -> DataFrame:
+        by_text = rows.groupBy("template", "key").agg(F.lit(1).alias("one"))
+        many = by_text.groupBy("template").agg(F.count("*").alias("n"))
+        return many.where(F.col("n") >= min_docs).select("template")
+
+    found = candidates.join(recurring(candidates), "template", "left_semi")
+    copies = (
+        found.groupBy("key", "line_no")
+        .agg(F.first("share").alias("share"))
+        .groupBy("key")
+        .agg(F.sum("share").alias("shares"))
+        .where("shares > 0.5")
+        .select("key")
     )
+    found = cut_lineage(
+        candidates.join(copies.withColumn("copy", F.lit(True)), "key", "left")
+    )
+    kept = recurring(found.where("copy is null"))
     return (
-        candidates.join(recurring, "template", "left_semi")
+        found.join(kept, "template", "left_semi")
         .groupBy("key")
         .agg(F.collect_set("line_no").alias("drop"))
     )
@@ -116,10 +125,17 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 8)
 
 def _cleaned(docs: DataFrame, text: str, min_docs: int) -> tuple[DataFrame, str]:
     key, drop = fresh("line_key", docs.columns), fresh("line_drop", docs.columns)
-    found = recurring_lines(docs, text, min_docs).select(
-        F.col("key").alias(key), F.col("drop").alias(drop)
+    maybe = fresh("line_maybe", docs.columns)
+    found = cut_lineage(
+        recurring_lines(docs, text, min_docs).select(F.col("key").alias(key), F.col("drop").alias(drop))
+    )
+    hashed = F.xxhash64(F.col(key))
+    keyed = may_be_among(
+        docs.withColumn(key, text_key(F.col(text))), hashed, found.select(hashed.alias("h")), maybe
     )
-    joined = docs.withColumn(key, text_key(F.col(text))).join(found, key, "left").drop(key)
+    # Texts that surely lose no line need no shuffle.
+    same = keyed.where(~F.col(maybe)).withColumn(drop, F.lit(None).cast("array<int>"))
+    joined = same.unionByName(keyed.where(maybe).join(found, key, "left")).drop(key, maybe)
     lines = _lines(text)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
     bound = F.transform(F.array(lines), lambda all_: F.transform(kept, lambda i: F.get(all_, i)))

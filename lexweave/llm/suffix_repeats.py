@@ -6,8 +6,9 @@ suffix at the same place whatever surrounds them. About one word in twenty start
 
 First the runs' hashes alone are counted; a bitmap of fixed size (16 MB) then tells which suffixes
 can have a partner, and only these are written out with 50 words to either side, two bytes a word.
-The suffixes are sorted over the whole corpus by range partitions, so one run that occurs in a third
-of all texts is spread over as many partitions as its rows need. Each suffix is compared with the
+The suffixes are sorted over the whole corpus by range partitions, by what follows and again by what
+precedes them; one run that occurs in a third of all texts is spread over as many partitions as its
+rows need. Each suffix is compared with the
 four before it from other texts, the match is extended to the right and the left, and both places
 are reported if it has at least 50 words; rows at a partition's ends meet their neighbours in a
 second comparison. A longer passage is covered by the suffixes inside it.
@@ -255,17 +256,21 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """(key, start, stop): spans of words that a text shares with another one; they may overlap."""
     texts = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    kept = suffixes(texts, suffix_counts(texts))
+    kept = cut_lineage(suffixes(texts, suffix_counts(texts)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["run", "right", "key", "at"]
-    ordered = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    compared = cut_lineage(ordered.mapInArrow(_compare, COMPARED))
-    # At most eight rows of each partition, in the order of the partitions.
-    edges = compared.where("seq is not null").select("part", "seq", *NAMES)
-    seams = edges.repartition(1).sortWithinPartitions("part", "seq").select(*NAMES)
-    across = seams.mapInArrow(_compare, COMPARED)
-    spans = compared.where("start is not null").unionByName(across.where("start is not null"))
-    return spans.select("key", "start", "stop").distinct()
+    spans = None
+    # Neighbours in the order of what follows share most to the right, in the other most to the left.
+    for order in (["run", "right", "key", "at"], ["run", "left", "key", "at"]):
+        ordered = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        compared = cut_lineage(ordered.mapInArrow(_compare, COMPARED))
+        # At most eight rows of each partition, in the order of the partitions.
+        edges = compared.where("seq is not null").select("part", "seq", *NAMES)
+        seams = edges.repartition(1).sortWithinPartitions("part", "seq").select(*NAMES)
+        across = seams.mapInArrow(_compare, COMPARED)
+        for found in (compared, across):
+            own = found.where("start is not null").select("key", "start", "stop")
+            spans = own if spans is None else spans.unionByName(own)
+    return spans.distinct()
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -149,13 +149,12 @@ def read_chunks(spark: SparkSession, folder: str, boundary: str) -> DataFrame:
     )
     wrong = (F.octet_length("chunk") != F.col("size")) | (F.sha2("chunk", 256) != F.col("block"))
     broken = F.raise_error(F.concat(F.lit("damaged archive record "), "record"))
-    return rows.withColumn("chunk", F.when(wrong, broken).otherwise(F.col("chunk")))
+    return rows.withColumn("block", F.when(wrong, broken).otherwise(F.col("block")))
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per record from its chunks in order, with a running digest and no joined payload."""
-    record, state, size, kinds = None, hashlib.sha256(), 0, ""
-    kind, digest = "", None
+    record, state, size, digest = None, hashlib.sha256(), 0, None
 
     def row() -> pa.RecordBatch:
         values = ([record], [size], [state.hexdigest()], [digest])
@@ -183,7 +182,9 @@ def read_records(spark: SparkSession, folder: str, boundary: str) -> DataFrame:
     single = rows.where("number = 0").select(
         "record", "kind", "refers_to", "size", F.col("block").alias("found"), "digest"
     )
-    long = rows.where("number > 0").select("record", "number", "digest", "chunk")
+    long = rows.where("number > 0 and block is not null").select(
+        "record", "number", "digest", "chunk"
+    )
     joined = (
         long.repartition("record")
         .sortWithinPartitions("record", "number")

@@ -195,7 +195,7 @@ def test_rules_and_spread(table):
     assert got[0].host == "good.com" and got[0].path == "/a" and got[0].rule == "com/"
     verdict = {i: r.verdict for i, r in got.items()}
     assert verdict == {
-        0: "allow", 1: "allow", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow",
+        0: "allow", 1: "allow", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow",
         7: "block", 8: "allow", 9: "allow", 10: "allow", 11: "allow",
     }
     assert got[5].rule == "www.example.com/en/" and got[6].rule == "com/" and got[10].rule is None

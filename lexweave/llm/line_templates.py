@@ -120,7 +120,8 @@ def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 8) -> D
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 8) -> DataFrame:
     """``docs`` with the lines of recurring templates taken out of ``text``."""
-    return _cleaned(docs, text, min_docs)[0]
+    cleaned, drop = _cleaned(docs, text, min_docs)
+    return cleaned.drop(drop)
 
 
 def _cleaned(docs: DataFrame, text: str, min_docs: int) -> tuple[DataFrame, str]:

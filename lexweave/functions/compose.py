@@ -29,6 +29,10 @@ _MAY_CHANGE = {
 }
 
 
+#: Characters with a compatibility form of their own, whatever follows them.
+COMPATIBLE = _MAY_CHANGE["NFKC"].replace(r"\p{M}", "")
+
+
 def _normalizer(form: str):
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:

@@ -13,16 +13,13 @@ from lexweave.functions.stage import evaluate, evaluate_fields, let, literal
 from lexweave.rules import domains as D
 from lexweave.rules import rewrites as R
 
-# Rule sets travel inside the expression, so they are bounded; larger dictionaries belong in a
-# table joined on n-grams (operators.lexicon).
-MAX_RULES = 2000
+# Rule sets travel inside the expression as one literal; a dictionary kept as a table is joined on
+# n-grams instead (operators.lexicon).
 _MARK = "\ue000"
 
 
 def ordered_rules(rules: Mapping[str, str]) -> list[tuple[str, str]]:
     """Longest source first, ties alphabetical."""
-    if len(rules) > MAX_RULES:
-        raise ValueError("too many rules for an inline rewrite; join on n-grams instead")
     return sorted(rules.items(), key=lambda r: (-len(r[0]), r[0]))
 
 

@@ -14,6 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexweave.functions.compose import COMPATIBLE
 from lexweave.functions.stage import literal
 
 # Letters, digits and underscore. Java's ``\w`` differs on marks and numerals, so say it outright.
@@ -82,6 +83,36 @@ def _casefold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(source), "".join(target), tuple(wide)
 
 
+@lru_cache(maxsize=1)
+def _compatible_tables() -> tuple[str, str, list[dict[str, str]]]:
+    """Characters that compatibility normalisation replaces: by one, and by several."""
+    source, target, wide = [], [], []
+    for code in range(0x80, 0x2FA20):
+        char = chr(code)
+        plain = unicodedata.normalize("NFKC", char)
+        if plain == char or "\ud800" <= char <= "\udfff":
+            continue
+        if len(plain) == 1:
+            source.append(char)
+            target.append(plain)
+        else:
+            wide.append({"a": char, "b": plain})
+    return "".join(source), "".join(target), wide
+
+
+def compatible(x: Column) -> Column:
+    """Compatibility normal form of composed text: full-width letters, ligatures, special spaces.
+
+    Stays in the JVM and so works inside lambdas. Letters followed by combining marks are composed
+    at the edge of a job (:mod:`lexweave.functions.compose`).
+    """
+    source, target, wide = _compatible_tables()
+    pairs = literal(wide, "array<struct<a:string,b:string>>")
+    narrow = F.translate(x, source, target)
+    spelled = F.aggregate(pairs, narrow, lambda acc, p: F.replace(acc, p["a"], p["b"]))
+    return F.when(x.rlike(COMPATIBLE), spelled).otherwise(x)
+
+
 # Covers every letter whose folded form is longer than one letter; a wider net is harmless.
 _WIDE_FOLDS = r"[\u0149\u01f0\u0390\u03b0\u0587\u1e96-\u1e9a\u1f50-\u1ffc\ufb00-\ufb17]"
 
@@ -100,8 +131,8 @@ def collapse(x: Column) -> Column:
 
 
 def normalize_surface(x: Column) -> Column:
-    """Fold case and squeeze white space; punctuation stays."""
-    return collapse(casefold(x))
+    """Compatibility form, case folded, white space squeezed; punctuation stays."""
+    return collapse(casefold(compatible(x)))
 
 
 def normalize_text(x: Column) -> Column:
@@ -114,7 +145,7 @@ def _drop_punctuation(x: Column) -> Column:
 
 
 def canonical_text(x: Column) -> Column:
-    return _drop_punctuation(casefold(x))
+    return _drop_punctuation(casefold(compatible(x)))
 
 
 def strip_diacritics(x: Column) -> Column:

@@ -26,11 +26,7 @@ from lexweave.operators.splits import rank_of
 from lexweave.rules import domains as D
 from lexweave.session import cut_lineage
 
-# How many of the most frequent tokens get an explicit late place in the token order. The order
-# decides the cost, never the result.
-FREQUENT_TOKENS = 1000
-# Posting lists longer than this count as hot and get a first round against a few members each.
-HOT_POSTINGS = 5000
+# The first of two rounds compares with so many members of every posting list.
 FIRST_ROUND = 8
 
 
@@ -62,24 +58,30 @@ def _bits(hashes: Column) -> Column:
     )
 
 
-def frequent_tokens(*sides: DataFrame) -> list[int]:
-    """Hashes of the most frequent tokens, rarest of them first. A list of fixed length."""
-    tokens = None
-    for side in sides:
-        part = side.select(F.explode("hashes").alias("token"))
-        tokens = part if tokens is None else tokens.unionByName(part)
-    top = tokens.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token")
-    return [row["token"] for row in reversed(top.limit(FREQUENT_TOKENS).collect())]
+def rarest_first(side: DataFrame) -> DataFrame:
+    """``side`` (with key, part, hashes) with its hashes ordered by document frequency.
+
+    Rare tokens make the prefix, so posting lists of common ones never arise; the order decides the
+    cost, never the result.
+    """
+    tokens = side.select("part", "key", F.explode("hashes").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    ordered = (
+        tokens.join(often, "token")
+        .groupBy("part", "key")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("ordered"))
+    )
+    none = F.array().cast("array<bigint>")
+    return side.join(ordered, ["part", "key"], "left").withColumn(
+        "hashes", F.coalesce(F.transform("ordered", lambda x: x["token"]), none)
+    ).drop("ordered")
 
 
-def _postings(side: DataFrame, rule: Similarity, frequent: list[int], spread: bool) -> DataFrame:
+def _postings(side: DataFrame, rule: Similarity, spread: bool) -> DataFrame:
     """One row per prefix token and length band."""
-    late = literal(frequent, "array<bigint>")
-    rare = F.array_sort(F.array_except("hashes", late))
-    common = F.array_intersect(late, "hashes")
     n = F.size("tokens")
     chars = F.char_length("text")
-    prefix = F.slice(F.concat(rare, common), 1, n - F.ceil(n * rule.jaccard - 1e-9).cast("int") + 1)
+    prefix = F.slice("hashes", 1, n - F.ceil(n * rule.jaccard - 1e-9).cast("int") + 1)
     width = -math.log(rule.length - 1e-9)
     band = F.floor(F.log(chars.cast("double")) / width).cast("int")
     bands = F.array(band - 1, band, band + 1) if spread else F.array(band)
@@ -152,12 +154,27 @@ def _verified(
     ).where((F.col("jaccard") >= rule.jaccard) & (F.col("lengths") >= rule.length))
     if rule.sequence is None:
         return passed.select("left", "right", "jaccard", F.col("jaccard").alias("score"))
-    scored = passed.withColumn("score", sequence_ratio("lt", "rt"))
+    # Matching blocks cannot hold more of a character than both texts have: most pairs that fail
+    # do so here, before any Python.
+    bounded = passed.where(_common_characters(F.col("lt"), F.col("rt")) >= rule.sequence - 1e-9)
+    scored = bounded.withColumn("score", sequence_ratio("lt", "rt"))
     return scored.where(F.col("score") >= rule.sequence).select(
         "left", "right", "jaccard", "score"
     )
 
 
+def _common_characters(a: Column, b: Column) -> Column:
+    """Twice the characters that both texts have, with multiplicity, over all their characters."""
+
+    def held(x: Column, letter: Column) -> Column:
+        return F.char_length(x) - F.char_length(F.replace(x, letter, F.lit("")))
+
+    letters = F.filter(F.array_distinct(F.split(a, "")), lambda c: c != "")
+    each = F.transform(letters, lambda c: F.least(held(a, c), held(b, c)))
+    shared = F.aggregate(each, F.lit(0), lambda x, y: x + y)
+    return 2 * shared / (F.char_length(a) + F.char_length(b))
+
+
 def _jaccard(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return shared / (F.size(a) + F.size(b) - shared)
@@ -171,68 +188,54 @@ def _token_columns(text: Column) -> dict[str, Column]:
 
 def _blank_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Two texts without tokens are similar only when both are empty; a side has at most one."""
-    a = left.where(F.col("text") == "").select(F.col("key").alias("left"), F.col("part").alias("lp"))
+    a = left.where(F.col("text") == "").select(
+        F.col("key").alias("left"), F.col("part").alias("lp"), F.col("text")
+    )
     b = right.where(F.col("text") == "").select(
-        F.col("key").alias("right"), F.col("part").alias("rp")
+        F.col("key").alias("right"), F.col("part").alias("rp"), F.col("text")
     )
     one = F.lit(1.0)
-    return a.join(b, F.col("lp") < F.col("rp")).select(
-        "left", "right", one.alias("jaccard"), one.alias("score")
+    return (
+        a.join(b, "text")
+        .where("lp < rp")
+        .select("left", "right", one.alias("jaccard"), one.alias("score"))
     )
 
 
-def _is_hot(postings: DataFrame, hot: int) -> bool:
-    sizes = postings.groupBy("token", "band").agg(F.count("*").alias("n"))
-    return sizes.where(F.col("n") > hot).limit(1).count() > 0
-
-
 def similar_pairs(
-    left: DataFrame,
-    right: DataFrame,
-    rule: Similarity = Similarity(),
-    frequent: list[int] | None = None,
+    left: DataFrame, right: DataFrame, rule: Similarity = Similarity()
 ) -> DataFrame:
     """All similar pairs of two sides: ``(left, right, jaccard, score)``.
 
-    Texts are distinct per side and ``part``; a pair needs a smaller ``part`` on the left.
+    Texts are distinct per side and ``part``, their hashes in the order of :func:`rarest_first`;
+    a pair needs a smaller ``part`` on the left.
     """
-    frequent = frequent_tokens(left, right) if frequent is None else frequent
     candidates = _candidates(
-        _postings(left, rule, frequent, spread=False),
-        _postings(right, rule, frequent, spread=True),
-        rule,
+        _postings(left, rule, spread=False), _postings(right, rule, spread=True), rule
     )
     return _verified(candidates, left, right, rule).unionByName(_blank_pairs(left, right))
 
 
 def similar_keys(
-    left: DataFrame,
-    right: DataFrame,
-    rule: Similarity = Similarity(),
-    frequent: list[int] | None = None,
-    hot: int = HOT_POSTINGS,
+    left: DataFrame, right: DataFrame, rule: Similarity = Similarity()
 ) -> DataFrame:
     """Left keys with at least one similar text on the right.
 
-    When some posting list is hot, a round against a few members of every list settles most near
-    copies; only what is left meets the full lists. The rounds change the cost, not the answer.
+    A round against a few members of every posting list settles most near copies; what is left
+    meets the full lists.
     """
-    frequent = frequent_tokens(left, right) if frequent is None else frequent
-    right_postings = _postings(right, rule, frequent, spread=True)
-    found = _blank_pairs(left, right).select(F.col("left").alias("key"))
-    rest = left
-    if _is_hot(right_postings, hot):
-        rank = F.row_number().over(W.partitionBy("token", "band").orderBy("key"))
-        few = right_postings.withColumn("rn", rank).where(F.col("rn") <= FIRST_ROUND).drop("rn")
-        pairs = _candidates(_postings(rest, rule, frequent, spread=False), few, rule)
-        settled = cut_lineage(
-            _verified(pairs, rest, right, rule).select(F.col("left").alias("key")).distinct()
-        )
-        found = found.unionByName(settled)
-        rest = cut_lineage(rest.join(settled, "key", "left_anti"))
-    pairs = _candidates(_postings(rest, rule, frequent, spread=False), right_postings, rule)
+    right_postings = _postings(right, rule, spread=True)
+    rank = F.row_number().over(W.partitionBy("token", "band").orderBy("key"))
+    few = right_postings.withColumn("rn", rank).where(F.col("rn") <= FIRST_ROUND).drop("rn")
+    pairs = _candidates(_postings(left, rule, spread=False), few, rule)
+    settled = cut_lineage(
+        _verified(pairs, left, right, rule).select(F.col("left").alias("key")).distinct()
+    )
+    rest = cut_lineage(left.join(settled, "key", "left_anti"))
+    pairs = _candidates(_postings(rest, rule, spread=False), right_postings, rule)
     late = _verified(pairs, rest, right, rule).select(F.col("left").alias("key"))
-    return found.unionByName(late).distinct()
+    blank = _blank_pairs(left, right).select(F.col("left").alias("key"))
+    return blank.unionByName(settled).unionByName(late).distinct()
 
 
 def templates(df: DataFrame, text: str, id_col: str = "id", split: str = "split") -> DataFrame:
@@ -254,27 +257,25 @@ def near_dup_pairs(
     text: str,
     id_col: str = "id",
     rule: Similarity = Similarity(),
-    limit: int = 50,
-    hot: int = HOT_POSTINGS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """The first ``limit`` similar pairs across splits, ordered by split pair, left and right id.
+    """Similar pairs across splits, by split pair, left and right id; the first ``limit`` if given.
 
-    With hot posting lists the left rows that have any partner are found first. The first ``limit``
-    of them hold the first ``limit`` pairs, so only those are paired out in full.
+    For a limit the left rows that have any partner are found first. The first ``limit`` of them
+    hold the first ``limit`` pairs, so only those are paired out in full.
     """
-    distinct = cut_lineage(templates(df, text, id_col))
-    frequent = frequent_tokens(distinct)
+    distinct = cut_lineage(rarest_first(cut_lineage(templates(df, text, id_col))))
     left, right = distinct.where("part < 2"), distinct.where("part > 0")
-    if not _is_hot(_postings(right, rule, frequent, spread=True), hot):
-        pairs = similar_pairs(left, right, rule, frequent)
+    if limit is None:
+        pairs = similar_pairs(left, right, rule)
     else:
         pairs = None
         for a, b in ((0, 1), (0, 2), (1, 2)):
             one, other = distinct.where(F.col("part") == a), distinct.where(F.col("part") == b)
-            keys = similar_keys(one, other, rule, frequent, hot)
+            keys = similar_keys(one, other, rule)
             first = keys.join(one.select("key", "id"), "key").orderBy("id").limit(limit)
             chosen = one.join(F.broadcast(first.select("key")), "key", "left_semi")
-            found = similar_pairs(chosen, other, rule, frequent)
+            found = similar_pairs(chosen, other, rule)
             pairs = found if pairs is None else pairs.unionByName(found)
     names = literal(list(D.SPLITS), "array<string>")
 
@@ -284,7 +285,7 @@ def near_dup_pairs(
     def id_of(key: str):
         return F.substring(F.col(key), F.lit(3), F.char_length(key))
 
-    return (
+    listed = (
         pairs.select(
             split_of("left").alias("l"),
             split_of("right").alias("r"),
@@ -293,14 +294,15 @@ def near_dup_pairs(
             "score",
         )
         .orderBy("l", "r", "left_id", "right_id")
-        .limit(limit)
-        .select(
+    )
+    if limit is not None:
+        listed = listed.limit(limit)
+    return listed.select(
             F.get(names, F.col("l")).alias("left_split"),
             "left_id",
             F.get(names, F.col("r")).alias("right_split"),
             "right_id",
             "score",
-        )
     )
 
 
@@ -310,7 +312,6 @@ def cross_split_anti(
     group: str = "group_id",
     id_col: str = "id",
     rule: Similarity = Similarity(),
-    hot: int = HOT_POSTINGS,
 ) -> DataFrame:
     """Drop validation groups similar to test, then train groups similar to test or to the
     validation groups that stayed. A group is judged by its first row's text."""
@@ -322,21 +323,18 @@ def cross_split_anti(
         [F.col("i")],
     )
     reps = cut_lineage(firsts.withColumn("key", text_key(F.col("text"))))
-    distinct = cut_lineage(
-        first_per_key(reps.select("split", "key", "text"), ["split", "key"], [F.col("key")]).withColumns(_token_columns(F.col("text")))
-    )
-    frequent = frequent_tokens(distinct)
+    texts = first_per_key(reps.select("split", "key", "text"), ["split", "key"], [F.col("key")])
+    texts = texts.withColumns(_token_columns(F.col("text"))).withColumnRenamed("split", "part")
+    distinct = cut_lineage(rarest_first(cut_lineage(texts)).withColumnRenamed("part", "split"))
 
     def side(name: str, part: int) -> DataFrame:
         return distinct.where(F.col("split") == name).drop("split").withColumn("part", F.lit(part))
 
     test = side("test", 1)
-    bad_validation = cut_lineage(
-        similar_keys(side("validation", 0), test, rule, frequent, hot)
-    )
+    bad_validation = cut_lineage(similar_keys(side("validation", 0), test, rule))
     kept = side("validation", 1).join(bad_validation, "key", "left_anti")
     protected = first_per_key(test.unionByName(kept), ["key"], [F.col("key")])
-    bad_train = similar_keys(side("train", 0), protected, rule, frequent, hot)
+    bad_train = similar_keys(side("train", 0), protected, rule)
     bad = bad_validation.select(F.lit("validation").alias("split"), "key").unionByName(
         bad_train.select(F.lit("train").alias("split"), "key")
     )

@@ -107,6 +107,10 @@ def action_payload(intent: Column, slots: Column) -> Column:
     return out
 
 
+#: The reason of a refused request.
+INVALID = "invalid_request"
+
+
 def invalid_requests(df: DataFrame, text: str = "text") -> DataFrame:
     return df.where(~request_ok(F.col(text)))
 
@@ -124,7 +128,11 @@ def parse_corpus(
     keep: tuple[str, ...] = ("id",),
     extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Parse every valid request; see ``RESULT`` for the columns added to ``keep``.
+    """Parse every request; see ``RESULT`` for the columns added to ``keep``.
+
+    A request that breaks its contract is refused: it stays as a row with intent ``unknown``,
+    confidence 0, no slots and no action, and says ``invalid_request`` as its reason, so reports
+    count it as a failure.
 
     ``scorer`` adds ``predicted``, ``confidence`` and ``probs`` from ``normalized_text``. Rejected
     rows get intent ``unknown``, no slots and no action. ``extra`` names inner columns to keep
@@ -134,7 +142,7 @@ def parse_corpus(
         raise ValueError("threshold lies in [0, 1]")
     dictionaries = dictionaries or Dictionaries()
     columns = dict.fromkeys([*keep, text, *([hint] if hint else [])])
-    rows = df.where(request_ok(F.col(text))).select(*columns)
+    rows = evaluate(df.select(*columns), __ok=F.coalesce(request_ok(F.col(text)), F.lit(False)))
     rows = normalize_corpus(rows, text, hint, compose=compose)
     rows = tag_columns(scorer(rows), "normalized_text", dictionaries)
 
@@ -229,7 +237,8 @@ def parse_corpus(
             )
         )
     )
-    rejected = low | blocked
+    ok = F.col("__ok")
+    rejected = low | blocked | ~ok
     done = F.col("__answer") if act else F.concat(
         F.lit("Đã nhận diện intent "), intent, F.lit(".")
     )
@@ -240,17 +249,19 @@ def parse_corpus(
         "intent": F.when(rejected, F.lit(D.UNKNOWN)).otherwise(intent),
         "slots": F.when(rejected, no_slots).otherwise(slots),
         "action": F.when(acted, F.col("__action")),
-        "response": F.when(low, F.lit(R.LOW_CONFIDENCE))
+        "response": F.when(~ok, F.lit(None))
+        .when(low, F.lit(R.LOW_CONFIDENCE))
         .when(blocked, F.lit(R.NOT_A_COMMAND))
         .when(incomplete, G.prompt_for(intent, missing))
         .otherwise(done),
-        "matched_features": features,
-        "gate_reason": F.when(~low, F.col("gate_reason")),
+        "matched_features": F.when(ok, features).otherwise(F.array(F.lit(INVALID))),
+        "gate_reason": F.when(~ok, F.lit(INVALID)).when(~low, F.col("gate_reason")),
     }
     final = evaluate(rows, **{f"__r_{k}": c for k, c in result.items()})
     named = {k: F.col(f"__r_{k}").alias(k) for k in result}
     named |= {"text": F.col(text).alias("text"), "normalized_text": norm}
-    named["confidence"] = F.col("confidence")
+    named["confidence"] = F.when(ok, F.col("confidence")).otherwise(0.0).alias("confidence")
+    named["predicted"] = F.when(ok, F.col("predicted")).otherwise(D.UNKNOWN).alias("predicted")
     own = [k for k in keep if k not in RESULT]
     return final.select(*own, *[named[k] for k in RESULT], *[named.get(k, F.col(k)) for k in extra])
 

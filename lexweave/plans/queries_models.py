@@ -92,7 +92,7 @@ def q_lr_predict(spark, d):
     """Select a candidate on the validation split, refit, score the rows held out for test."""
     x = _labelled(spark, d)
     model, _ = K.select_candidate(
-        x.where("split = 'train'"), x.where("split = 'validation'"), K.CANDIDATES[:2]
+        x.where("split = 'train'"), x.where("split = 'validation'")
     )
     scored = model.score(x.where("split = 'test'"))
     return scored.select(
@@ -109,19 +109,19 @@ def _vectors(spark, d):
 def q_embedding_lr(spark, d):
     x = _vectors(spark, d)
     model, _ = K.select_vectors(
-        x.where("split = 'train'"), x.where("split <> 'train'"), "embedding", "label"
+        x.where("split = 'train'"), x.where("split = 'validation'"), "embedding", "label"
     )
-    return model.score(x.where("split <> 'train'")).select(
+    return model.score(x.where("split = 'test'")).select(
         "vec_id", "label", "predicted", r6("confidence").alias("confidence")
     )
 
 
 @query("q_model_compare")
 def q_model_compare(spark, d):
-    """Rule baseline against the trained classifier on the same held-out rows."""
+    """Rule baseline against the selected classifier on the rows held out for test."""
     x = _labelled(spark, d)
-    held = x.where("split <> 'train'").withColumn("expected", F.col("intent"))
-    model = K.train_ngram(x.where("split = 'train'"), K.CANDIDATES[0])
+    held = x.where("split = 'test'").withColumn("expected", F.col("intent"))
+    model, _ = K.select_candidate(x.where("split = 'train'"), x.where("split = 'validation'"))
     rules = {
         "user": (r"\?\s*$", r"^.{1,400}$"),
         "assistant": (r"^.{401,}$", r"^.{800,}$"),

@@ -391,14 +391,13 @@ def q_preprocess_counts(spark, d):
 
 @query(
     "q_required_coverage",
-    f"""WITH x AS (SELECT {sql_split('doc_id')} AS split, lang AS intent, source AS slot FROM documents
-        WHERE n_chars > 4000),
+    f"""WITH x AS (SELECT {sql_split('doc_id')} AS split, lang AS intent, source AS slot FROM documents),
     n AS (SELECT DISTINCT intent, slot FROM x), s AS (SELECT unnest(['train','validation','test']) AS split)
     SELECT split, intent, slot FROM n, s WHERE (split, intent, slot) NOT IN
       (SELECT (split, intent, slot) FROM x)""",
 )
 def q_required_coverage(spark, d):
-    x = documents(spark, d, "doc_id", "lang", "source", "n_chars").where("n_chars > 4000")
+    x = documents(spark, d, "doc_id", "lang", "source")
     return Q.required_coverage(
         x.select(
             split_of(F.col("doc_id")).alias("split"),
@@ -482,7 +481,7 @@ def q_near_dup(spark, d):
     x = documents(spark, d, "doc_id", "text").select(
         "doc_id", folded().alias("text"), split_of(F.col("doc_id")).alias("split")
     )
-    return near_dup_pairs(x, "text", "doc_id", TOKEN_RULE).withColumn("score", r6("score"))
+    return near_dup_pairs(x, "text", "doc_id", TOKEN_RULE, limit=50).withColumn("score", r6("score"))
 
 
 @query("q_near_dup_sequence")
@@ -490,7 +489,7 @@ def q_near_dup_sequence(spark, d):
     x = documents(spark, d, "doc_id", "text").select(
         "doc_id", folded().alias("text"), split_of(F.col("doc_id")).alias("split")
     )
-    return near_dup_pairs(x, "text", "doc_id")
+    return near_dup_pairs(x, "text", "doc_id", limit=50)
 
 
 @query(

@@ -8,6 +8,7 @@ from lexweave.functions import markup as M
 from lexweave.functions import text as T
 from lexweave.functions.compose import composed
 from lexweave.functions.rewrite import normalize_corpus, rewrite_phrases
+from lexweave.functions.stage import let
 from lexweave.operators import contracts as K
 from lexweave.operators import gates as G
 from lexweave.operators import lexicon as L
@@ -25,8 +26,10 @@ from lexweave.plans.registry import (
     sql_folded,
     sql_key,
     sql_plain,
+    sql_split,
     sql_surface,
     sql_ws,
+    split_of,
 )
 from lexweave.sources.sinks import content_checksum
 from lexweave.sources.tables import read_table
@@ -438,18 +441,30 @@ def q_required_slots(spark, d):
     return x.select("id", F.array_join(missing, "|").alias("missing"))
 
 
+#: A word pair is learned from this many training documents on.
+_PAIR_DOCS = 8
+
+
 def _learned(spark, d):
-    """Lexicon of the word pairs that open a document, a slot per language."""
-    x = documents(spark, d, "doc_id", "text", "lang")
+    """Lexicon of the word pairs that are frequent in the training documents, a slot per language."""
+    x = documents(spark, d, "doc_id", "text", "lang").where(split_of(F.col("doc_id")) == "train")
     w = F.split(T.normalize_surface(F.col("text")), " ", -1)
-    slots = F.map_from_arrays(
-        F.array("lang"), F.array(F.array(F.array_join(F.slice(w, 1, 2), " ")))
+    pairs = let(
+        w, lambda a: F.zip_with(a, F.slice(a, 2, F.size(a)), lambda p, q: F.concat(p, F.lit(" "), q))
     )
-    return L.lexicon_build(x.withColumn("slots", slots), names=["en", "fr", "de", "es"])
+    found = x.select("doc_id", "lang", F.explode(F.array_distinct(pairs)).alias("pair"))
+    often = found.groupBy("lang", "pair").agg(F.count("*").alias("n"))
+    often = often.where((F.col("n") >= _PAIR_DOCS) & F.col("pair").isNotNull())
+    slots = F.map_from_arrays(F.array("lang"), F.array(F.array("pair")))
+    return L.lexicon_build(often.withColumn("slots", slots), names=["en", "fr", "de", "es"])
 
 
-SQL_LEARNED = f"""learned AS (SELECT DISTINCT lang AS slot,
-      array_to_string(string_split({sql_surface('text')}, ' ')[1:2], ' ') AS value FROM documents)"""
+SQL_LEARNED = f"""words AS (SELECT doc_id, lang, string_split({sql_surface('text')}, ' ') AS w
+      FROM documents WHERE {sql_split('doc_id')} = 'train'),
+    learned AS (SELECT lang AS slot, value FROM (
+        SELECT DISTINCT doc_id, lang, w[i] || ' ' || w[i + 1] AS value
+        FROM words, unnest(range(1, len(w))) u(i))
+      GROUP BY ALL HAVING count(*) >= {_PAIR_DOCS})"""
 
 
 @query("q_lexicon_build", f"WITH {SQL_LEARNED} SELECT slot, value FROM learned")
@@ -457,24 +472,24 @@ def q_lexicon_build(spark, d):
     return _learned(spark, d)
 
 
-# Entries the matcher can place: word characters at both ends.
-_REGULAR = r"^[\p{L}\p{N}_](?:.*[\p{L}\p{N}_])?$"
-
-
 def _entries(spark, d):
-    learned = _learned(spark, d).where(F.col("value").rlike(_REGULAR))
     order = F.conv(F.substring(F.sha2("value", 256), 1, 12), 16, 10).cast("bigint")
-    return learned.withColumn("ord", order)
+    return _learned(spark, d).withColumn("ord", order)
 
 
+_SQL_WORD, _SQL_PIECE = r"[\p{L}\p{N}_]", r"[\p{L}\p{N}_]+|[\s\p{Z}]+|[^\p{L}\p{N}_\s\p{Z}]"
 _SQL_GRAMS = rf"""
-    t AS (SELECT doc_id, regexp_extract_all(' ' || {sql_surface('text')},
-            '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS p FROM documents),
-    g AS (SELECT DISTINCT doc_id, array_to_string(p[2 * i : 2 * i + 2 * n - 2], '') AS surface
-          FROM t, range(1, 4) r(n), unnest(range(1, (len(p) // 2 - n + 2)::BIGINT)) u(i)),
     e AS (SELECT slot, value, {sql_plain('value')} AS gram,
-            ('0x' || substr(sha256(value), 1, 12))::BIGINT AS ord FROM learned
-          WHERE regexp_matches(value, '{_REGULAR}')),
+            ('0x' || substr(sha256(value), 1, 12))::BIGINT AS ord,
+            len(regexp_extract_all(value, '{_SQL_PIECE}')) AS n FROM learned),
+    t AS (SELECT doc_id, regexp_extract_all({sql_surface('text')}, '{_SQL_PIECE}') AS p
+          FROM documents),
+    r AS (SELECT doc_id, array_to_string(p[i : i + n - 1], '') AS surface,
+            coalesce(p[i - 1], '') AS before, coalesce(p[i + n], '') AS after
+          FROM t, (SELECT DISTINCT n FROM e), unnest(range(1, (len(p) - n + 2)::BIGINT)) u(i)),
+    g AS (SELECT DISTINCT doc_id, surface FROM r
+          WHERE NOT (regexp_matches(before, '^{_SQL_WORD}') AND NOT regexp_matches(surface, '^{_SQL_WORD}'))
+            AND NOT (regexp_matches(after, '^{_SQL_WORD}') AND NOT regexp_matches(surface, '{_SQL_WORD}$'))),
     h AS (SELECT doc_id AS id, slot, value, ord, bool_or(surface = value) AS exact,
             any_value(length(gram)) AS n_chars
           FROM (SELECT doc_id, surface, {sql_plain('surface')} AS gram FROM g) JOIN e USING (gram)
@@ -487,7 +502,7 @@ _SQL_GRAMS = rf"""
 )
 def q_lexicon_match(spark, d):
     x = documents(spark, d, "doc_id", "text").withColumn("t", T.normalize_surface(F.col("text")))
-    hits = L.lexicon_hits(x, _entries(spark, d), "t", "doc_id", max_words=3)
+    hits = L.lexicon_hits(x, _entries(spark, d), "t", "doc_id")
     return hits.select("id", "slot", "value", "exact", F.col("n_chars").cast("bigint").alias("n_chars"))
 
 
@@ -499,7 +514,7 @@ def q_lexicon_match(spark, d):
 )
 def q_longest(spark, d):
     x = documents(spark, d, "doc_id", "text").withColumn("t", T.normalize_surface(F.col("text")))
-    return L.longest_match(L.lexicon_hits(x, _entries(spark, d), "t", "doc_id", max_words=3))
+    return L.longest_match(L.lexicon_hits(x, _entries(spark, d), "t", "doc_id"))
 
 
 @query(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +9,6 @@ from lexweave.functions import text as T
 from lexweave.rules import intents, rewrites, tagging
 from lexweave.session import literal_table
 
-MAX_RULES = 5000
-
 
 def rewrite_rules(spark: SparkSession) -> DataFrame:
     """``(stage, region, src, dst, context)`` of all default rewrite rules."""
@@ -54,22 +50,17 @@ def slot_values(spark: SparkSession) -> DataFrame:
 
 
 def rules_from_table(rules: DataFrame) -> dict[str, dict[str, str]]:
-    """A rule table ``(region, src, dst)`` as rewrite dictionaries. Tables beyond the inline bound
-    are refused before anything is fetched."""
-    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
-        raise ValueError("rule table too large to inline; join on n-grams instead")
+    """A rule table ``(region, src, dst)`` as rewrite dictionaries, for inline rewriting."""
     out: dict[str, dict[str, str]] = {}
-    for row in rules.select("region", "src", "dst").limit(MAX_RULES).collect():
+    for row in rules.select("region", "src", "dst").orderBy("region", "src").collect():
         out.setdefault(row["region"], {})[row["src"]] = row["dst"]
     return out
 
 
-def entries_from_table(lexicon: DataFrame) -> Mapping[str, list[str]]:
-    """A lexicon table ``(slot, value)`` as tagging dictionaries, under the same bound."""
-    if lexicon.limit(MAX_RULES + 1).count() > MAX_RULES:
-        raise ValueError("lexicon too large to inline; use lexicon_hits")
+def entries_from_table(lexicon: DataFrame) -> dict[str, list[str]]:
+    """A curated lexicon ``(slot, value)`` as tagging dictionaries; a mined one is joined as a table
+    (:func:`lexweave.operators.lexicon.lexicon_hits`)."""
     out: dict[str, list[str]] = {}
-    rows = lexicon.select("slot", "value").limit(MAX_RULES).collect()
-    for row in sorted(rows, key=lambda r: (r["slot"], r["value"])):
+    for row in lexicon.select("slot", "value").orderBy("slot", "value").collect():
         out.setdefault(row["slot"], []).append(row["value"])
     return out

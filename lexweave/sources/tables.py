@@ -6,13 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Read a table, only the named columns.
-
-    A file smaller than one split per core would leave cores idle under heavy text expressions, so
-    it is dealt out; larger tables keep their own splits and are not shuffled.
-    """
+    """Read a table, only the named columns, in the splits its files have."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    if columns:
-        df = df.select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.select(*columns) if columns else df

@@ -1,4 +1,5 @@
 import json
+import unicodedata
 from pathlib import Path
 
 import pytest
@@ -114,8 +115,11 @@ def test_answers_and_traces(parsed):
 def test_low_confidence_is_rejected_first(spark):
     df = spark.createDataFrame([("1", "làm cái đó đi"), ("2", "  ")], "id string, text string")
     out = C.parse_corpus(df, C.constant_scorer("ask_weather", 0.3), threshold=0.45).collect()
-    assert len(out) == 1 and out[0]["intent"] == "unknown" and out[0]["action"] is None
-    assert out[0]["matched_features"] == ["intent_rejected:ask_weather", "confidence_threshold:0.45"]
+    low, refused = sorted(out, key=lambda r: r["id"])
+    assert low["intent"] == refused["intent"] == "unknown"
+    assert low["action"] is refused["action"] is None
+    assert low["matched_features"] == ["intent_rejected:ask_weather", "confidence_threshold:0.45"]
+    assert refused["matched_features"] == ["invalid_request"] and refused["confidence"] == 0
     assert C.invalid_requests(df).count() == 1
 
 
@@ -238,3 +242,16 @@ def test_enrichment(spark, parsed):
     assert "chưa thực hiện cuộc gọi thật" in out["gọi mẹ bây giờ"]["response"]
     assert out["mở bài lạc trôi của sơn tùng"]["action"]["payload"]["n_matches"] == "1"
     assert out["nhắc tôi"]["action"] is None
+
+
+def test_compatibility_forms_are_one_text(spark):
+    from lexweave.functions import text as T
+
+    same = [("ＡＢＣ １２", "abc 12"), ("ﬁle №5", "file no5"), ("ｇọi　mẹ", "gọi mẹ"), ("a\u00a0b", "a b"),
+            ("½ㅤ㎞", None), ("Straße", "strasse"), ("ị", "ị")]
+    df = spark.createDataFrame([(a,) for a, _ in same], "text string")
+    out = df.select("text", T.normalize_surface(df["text"]).alias("s"), T.canonical_text(df["text"]).alias("c"))
+    for row, (text, plain) in zip(out.collect(), same):
+        whole = " ".join(unicodedata.normalize("NFKC", text).casefold().split())
+        assert row.s == whole
+        assert plain is None or row.s == row.c == plain

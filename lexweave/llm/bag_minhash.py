@@ -10,8 +10,8 @@ log w processes. Points later than every register's are never drawn.
 
 Texts that agree in a band of five registers are candidates. Equal texts collapse beforehand, so
 work is on distinct texts, named by a digest. A bucket's members are compared with one pivot member
-first, then, where they are not in one class yet, with a second one, and what remains between
-classes pair by pair; nothing is compared twice and nothing is left out. A link needs a similarity
+first, then, where links do not join them yet, with a second one, and what remains unjoined
+pair by pair; nothing is compared twice and nothing is left out. A link needs a similarity
 of at least 0.8, and linked texts form classes.
 
 Cases: null and empty texts are equal to each other and form a class; a text without words is like
@@ -34,14 +34,14 @@ from lexweave.session import cut_lineage
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 19
 
 
 class WordHashes(dict):
     """Hashes by word; emptied when full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 17:
             self.clear()
         made = self[word] = xxhash.xxh3_64_intdigest(word)
         return made
@@ -179,11 +179,19 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut_lineage(compared)
 
 
-def _classes(members: DataFrame, links: DataFrame) -> DataFrame:
-    roots = components(links.where(F.col("similarity") >= SIMILARITY).select("a", "b"))
-    return members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
-        "class", F.coalesce("root", "key")
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with ``class``, the least text within two links: enough to tell most classes apart
+    or together, and texts that it tells apart are merely compared once more."""
+    linked = links.where(F.col("similarity") >= SIMILARITY)
+    both = linked.select("a", "b").unionByName(
+        linked.select(F.col("b").alias("a"), F.col("a").alias("b"))
     )
+    one = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("near"))
+    far = one.select(F.col("a").alias("near"), F.col("near").alias("far"))
+    two = one.join(far, "near", "left").select(
+        F.col("a").alias("key"), F.coalesce("far", "near").alias("class")
+    )
+    return members.join(two, "key", "left").withColumn("class", F.coalesce("class", "key"))
 
 
 def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,7 +230,7 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     def mixed() -> DataFrame:
         """Members of buckets that hold more than one class."""
-        rows = _classes(buckets, links).select(*bucket, "key", "n", "class", "high")
+        rows = _labelled(buckets, links).select(*bucket, "key", "n", "class", "high")
         ends = rows.groupBy(*bucket).agg(F.min("class").alias("x"), F.max("class").alias("y"))
         return cut_lineage(rows.join(ends.where("x <> y").select(*bucket), bucket))
 

@@ -33,7 +33,7 @@ def _lines(text: str) -> Column:
 
 
 def parse_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per line with tokens: key, line_no, share of the text, leaf, and part hashes."""
+    """One row per line with tokens: key, line_no, share of the text, tokens, and leaf."""
     rows = docs.where(F.col(text).isNotNull()).select(
         text_key(F.col(text)).alias("key"),
         F.length(text).alias("all_chars"),
@@ -43,25 +43,21 @@ def parse_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = rows.select("key", "line_no", share.alias("share"), "line")
     line = F.trim("line")
     masked = F.when(line.rlike(r"[0-9@]|://"), F.regexp_replace(line, FIELD, "<*>")).otherwise(line)
-    cut = evaluate(
-        lines.where(F.trim("line") != ""),
-        tokens=F.split(masked, r"\s+"),
-    )
-    n = F.size("tokens")
-    rest = F.greatest(n - LEADING, F.lit(0))
+    cut = evaluate(lines.where(F.trim("line") != ""), tokens=F.split(masked, r"\s+"))
+    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING))
+    return cut.select("key", "line_no", "share", "tokens", leaf.alias("leaf"))
+
+
+def _parts() -> list[Column]:
+    """The hashes of the five parts of a line's other tokens."""
+    rest = F.greatest(F.size("tokens") - LEADING, F.lit(0))
 
     def part(i: int) -> Column:
         start = F.floor(rest * i / PARTS).cast("int")
         end = F.floor(rest * (i + 1) / PARTS).cast("int")
         return F.xxhash64(F.slice("tokens", start + LEADING + 1, end - start))
 
-    return cut.select(
-        "key",
-        "line_no",
-        "share",
-        F.xxhash64(n, F.slice("tokens", 1, LEADING)).alias("leaf"),
-        *[part(i).alias(f"part{i}") for i in range(PARTS)],
-    )
+    return [part(i).alias(f"part{i}") for i in range(PARTS)]
 
 
 def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 8) -> DataFrame:
@@ -76,6 +72,9 @@ def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 8) -> D
         .where(F.col("count") >= min_docs)
         .select("leaf")
     )
+    busy = cut_lineage(busy)
+    some = may_be_among(lines, F.col("leaf"), busy, "maybe").where("maybe")
+    some = some.select("key", "line_no", "share", "leaf", *_parts())
     parts = [F.col(f"part{i}") for i in range(PARTS)]
     templates = F.array_distinct(
         F.array(
@@ -87,7 +86,7 @@ def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 8) -> D
         )
     )
     candidates = cut_lineage(
-        lines.join(busy, "leaf")
+        some.join(busy, "leaf")
         .groupBy("key", "line_no", "share", templates.alias("templates"))
         .agg(F.lit(1).alias("one"))
         .select("key", "line_no", "share", F.explode("templates").alias("template"))

@@ -33,29 +33,34 @@ def _lines(text: str) -> Column:
 
 
 def parse_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per line with tokens: key, line_no, share of the text, tokens, and leaf."""
+    """One row per line with tokens: key, line_no, share of the text, tokens as one string, leaf."""
     rows = docs.where(F.col(text).isNotNull()).select(
         text_key(F.col(text)).alias("key"),
         F.length(text).alias("all_chars"),
         F.posexplode(_lines(text)).alias("line_no", "line"),
     )
     share = F.length("line") / F.greatest("all_chars", F.lit(1))
-    lines = rows.select("key", "line_no", share.alias("share"), "line")
-    line = F.trim("line")
-    masked = F.when(line.rlike(r"[0-9@]|://"), F.regexp_replace(line, FIELD, "<*>")).otherwise(line)
-    cut = evaluate(lines.where(F.trim("line") != ""), tokens=F.split(masked, r"\s+"))
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING))
+    line = F.col("line")
+    # Most lines have neither fields nor white space besides single spaces.
+    odd = line.rlike(r"[0-9@:\t\x0B\f\r]") | F.contains(line, F.lit("  "))
+    spelled = F.trim(F.regexp_replace(F.regexp_replace(line, r"\s+", " "), FIELD, "<*>"))
+    cut = evaluate(
+        rows.select("key", "line_no", share.alias("share"), "line"),
+        tokens=F.when(odd, spelled).otherwise(F.trim(line)),
+    ).where("tokens <> ''")
+    n = F.length("tokens") - F.length(F.replace("tokens", F.lit(" "), F.lit("")))
+    leaf = F.xxhash64(n, F.substring_index("tokens", " ", LEADING))
     return cut.select("key", "line_no", "share", "tokens", leaf.alias("leaf"))
 
 
 def _parts() -> list[Column]:
     """The hashes of the five parts of a line's other tokens."""
-    rest = F.greatest(F.size("tokens") - LEADING, F.lit(0))
+    rest = F.greatest(F.size("words") - LEADING, F.lit(0))
 
     def part(i: int) -> Column:
         start = F.floor(rest * i / PARTS).cast("int")
         end = F.floor(rest * (i + 1) / PARTS).cast("int")
-        return F.xxhash64(F.slice("tokens", start + LEADING + 1, end - start))
+        return F.xxhash64(F.slice("words", start + LEADING + 1, end - start))
 
     return [part(i).alias(f"part{i}") for i in range(PARTS)]
 
@@ -74,6 +79,7 @@ def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 8) -> D
     )
     busy = cut_lineage(busy)
     some = may_be_among(lines, F.col("leaf"), busy, "maybe").where("maybe")
+    some = evaluate(some, words=F.split("tokens", " "))
     some = some.select("key", "line_no", "share", "leaf", *_parts())
     parts = [F.col(f"part{i}") for i in range(PARTS)]
     templates = F.array_distinct(

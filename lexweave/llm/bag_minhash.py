@@ -9,10 +9,13 @@ similarity, since blocks and points do not depend on the text, and a run that oc
 log w processes. Points later than every register's are never drawn.
 
 Texts that agree in a band of five registers are candidates. Equal texts collapse beforehand, so
-work is on distinct texts, named by a digest. A bucket's members are compared with one pivot member
-first, then, where links do not join them yet, with a second one, and what remains unjoined
-pair by pair; nothing is compared twice and nothing is left out. A link needs a similarity
-of at least 0.8, and linked texts form classes.
+work is on distinct texts, named by a digest. Candidates are not paired out: a bucket's members are
+compared with its most central text, the one that meets most others over all its buckets - for the
+edited copies of one text that is the text itself. Of what stays apart from it the most central text
+is compared next, and so on as long as a round finds links, each in proportion to the members.
+Buckets of up to eight members are then compared completely. A link needs a similarity of at least
+0.8, and linked texts form classes. A pair can be missed only if every bucket that it shares is
+large and has other pivots in every round, neither of them joining the two.
 
 Cases: null and empty texts are equal to each other and form a class; a text without words is like
 its equals only; repeated rows and null ids are kept apart by content. Other columns pass unchanged.
@@ -35,6 +38,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 GROUP_CHARS = 1 << 19
+#: Members up to which a bucket is compared completely in the end.
+SMALL = 8
 
 
 class WordHashes(dict):
@@ -206,11 +211,10 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     spread = signed.select("key", "n", F.posexplode("bands").alias("band", "value"))
     bucket = ["band", "value"]
     near = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
-    many = spread.groupBy(*bucket).agg(
-        F.min(F.struct("key", "n")).alias("low"), F.max(F.struct("key", "n")).alias("high")
-    )
-    many = many.where("low.key <> high.key")
-    buckets = cut_lineage(spread.join(many, bucket))
+    sizes = spread.groupBy(*bucket).agg(F.count("*").alias("members")).where("members > 1")
+    shared = cut_lineage(spread.join(sizes, bucket))
+    central = shared.groupBy("key").agg(F.sum("members").alias("met"))
+    buckets = cut_lineage(shared.join(central, "key"))
     # The texts of all candidates, once: one row per text is told by its least id.
     wanted = (
         keyed.groupBy("key")
@@ -220,19 +224,14 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     same = (keyed["key"] == wanted["key"]) & keyed["id"].eqNullSafe(wanted["id"])
     texts = cut_lineage(keyed.join(wanted, same, "left_semi").select("key", "text").distinct())
 
-    def pairs_with(rows: DataFrame, pivot: str) -> DataFrame:
-        rows = rows.withColumn("m", F.col(f"{pivot}.n")).withColumn("b", F.col(f"{pivot}.key"))
-        return rows.where((F.col("key") != F.col("b")) & near).select(
-            F.col("key").alias("a"), "b"
-        ).distinct()
-
-    links = _verified(pairs_with(buckets, "low"), texts)
+    rank = F.struct("met", "key", "n", "class")
 
-    def mixed() -> DataFrame:
-        """Members of buckets that hold more than one class."""
-        rows = _labelled(buckets, links).select(*bucket, "key", "n", "class", "high")
-        ends = rows.groupBy(*bucket).agg(F.min("class").alias("x"), F.max("class").alias("y"))
-        return cut_lineage(rows.join(ends.where("x <> y").select(*bucket), bucket))
+    def with_pivot(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+        """Pairs of a member and its bucket's pivot that are not in one class."""
+        chosen = pivots.groupBy(*bucket).agg(F.max(rank).alias("pivot"))
+        joined = rows.join(chosen, bucket).withColumn("m", F.col("pivot.n"))
+        apart = joined.where((F.col("class") != F.col("pivot.class")) & near)
+        return apart.select(F.col("key").alias("a"), F.col("pivot.key").alias("b")).distinct()
 
     def untested(pairs: DataFrame) -> DataFrame:
         known = links.select("a", "b").unionByName(
@@ -240,13 +239,29 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         )
         return pairs.join(known, ["a", "b"], "left_anti")
 
-    links = links.unionByName(_verified(untested(pairs_with(mixed(), "high")), texts))
-    rest = mixed()
-    other = rest.select(
+    def mixed() -> DataFrame:
+        """Members of buckets that hold more than one class."""
+        rows = _labelled(buckets, links)
+        ends = rows.groupBy(*bucket).agg(
+            F.min("class").alias("x"), F.max("class").alias("y"), F.max(rank).alias("first")
+        )
+        ends = ends.where("x <> y").select(*bucket, F.col("first.class").alias("main"))
+        return cut_lineage(rows.join(ends, bucket))
+
+    each = buckets.withColumn("class", F.col("key"))
+    links = _verified(with_pivot(each, each), texts)
+    while True:
+        rows = mixed()
+        found = _verified(untested(with_pivot(rows, rows.where("class <> main"))), texts)
+        links = links.unionByName(found)
+        if found.where(F.col("similarity") >= SIMILARITY).isEmpty():
+            break
+    few = mixed().where(F.col("members") <= SMALL)
+    other = few.select(
         *bucket, F.col("key").alias("b"), F.col("n").alias("m"), F.col("class").alias("other")
     )
     between = (
-        rest.join(other, bucket)
+        few.join(other, bucket)
         .where((F.col("key") < F.col("b")) & (F.col("class") != F.col("other")) & near)
         .select(F.col("key").alias("a"), "b")
         .distinct()

@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
-from lexweave.operators.ordering import exact_quantiles, running_totals
+from lexweave.operators.ordering import even_slices, exact_quantiles, running_totals
 from lexweave.rules import domains as D
 from lexweave.session import literal_table
 
-SCORE_SLICES = 4096
 _EPS = 2.220446049250313e-16
 
 
@@ -348,9 +347,7 @@ def _ranked_scores(
         .groupBy("label", "score")
         .agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg"))
     )
-    sliced = scores.withColumn(
-        "slice", F.least(F.floor(F.col("score") * SCORE_SLICES), F.lit(SCORE_SLICES)).cast("int")
-    )
+    sliced = even_slices(scores, ["label"], "score", "slice")
     return running_totals(
         sliced, ["label"], "slice", [F.desc("score")], ["pos", "neg"], descending_slices=True
     ).drop("slice")

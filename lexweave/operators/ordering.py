@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 # Three hexadecimal digits of a hash: 4096 even slices.
 HASH_SLICE_DIGITS = 3
+# Slices of a group in the order of a value.
+SLICES = 128
 # Up to this many rows per key Spark limits ranks before the shuffle (its own default bound).
 RANK_LIMIT = 1000
 
@@ -48,6 +50,19 @@ def running_totals(
     ).drop(*[f"__local_{c}" for c in sums], *[f"__before_{c}" for c in sums])
 
 
+def even_slices(df: DataFrame, by: Sequence[str], value: str, slice_col: str) -> DataFrame:
+    """Add ``slice_col``, which grows with ``value`` and splits each group's rows evenly.
+
+    The bounds are approximate percentiles of the rows themselves, so an outlier or a crowd of close
+    values does not fill one slice; a value has one slice, whatever the bounds' error.
+    """
+    steps = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    bounds = df.groupBy(*by).agg(F.percentile_approx(value, steps, 100 * SLICES).alias("__bounds"))
+    joined = df.join(bounds, list(by)) if by else df.crossJoin(F.broadcast(bounds))
+    below = F.filter("__bounds", lambda b: b < F.col(value))
+    return joined.withColumn(slice_col, F.size(below)).drop("__bounds")
+
+
 def hash_rank(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     """Add ``rank`` (from 1) in order of a unique hexadecimal hash column, and ``total``."""
     sliced = df.withColumns(
@@ -126,20 +141,14 @@ def with_previous(
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, fractions: dict[str, float], slices: int = 1024
+    df: DataFrame, by: Sequence[str], value: str, fractions: dict[str, float]
 ) -> DataFrame:
     """Linearly interpolated percentiles per group, one column per fraction.
 
     Equal values collapse first; ranks come from sliced running totals, so no task holds a group.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    bounds = counts.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    spread = F.col("__hi") - F.col("__lo")
-    position = F.when(spread > 0, (F.col(value) - F.col("__lo")) / spread).otherwise(0.0)
-    joined = counts.join(bounds, list(by)) if by else counts.crossJoin(F.broadcast(bounds))
-    sliced = joined.withColumn(
-        "__slice", F.least(F.floor(position * slices), F.lit(slices - 1)).cast("int")
-    ).drop("__lo", "__hi")
+    sliced = even_slices(counts, by, value, "__slice")
     ranked = running_totals(sliced, by, "__slice", [F.col(value)], ["n"])
 
     def held(rank: Column) -> Column:

@@ -139,3 +139,11 @@ def test_five_rows_one_rejected(spark):
     )
     assert [tuple(r) for r in M.reason_counts(df, reason).collect()] == [("intent+slots+action", 1)]
     assert [r["id"] for r in M.failures(df, reason, ["id"]).collect()] == ["0"]
+
+
+def test_outliers_do_not_fill_a_slice(spark):
+    from lexweave.operators.ordering import even_slices
+
+    df = spark.range(20_000).selectExpr("id", "IF(id = 7, 1e9, pow(id / 20000, 9)) AS v", "id % 2 AS g")
+    sizes = even_slices(df, ["g"], "v", "s").groupBy("g", "s").count().collect()
+    assert max(r["count"] for r in sizes) <= 0.011 * 10_000

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.support import components, fresh, text_key
+from lexweave.llm.support import components, fresh, text_key, written
 from lexweave.session import cut_lineage
 
 WORDS, SIMILARITY = 5, 0.8
@@ -207,14 +207,14 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     signed = keyed.select("key", "text").mapInArrow(
         _sign, "key binary, n bigint, bands array<bigint>"
     )
-    signed = cut_lineage(signed.dropDuplicates(["key"]))
+    signed = written(signed.dropDuplicates(["key"]))
     spread = signed.select("key", "n", F.posexplode("bands").alias("band", "value"))
     bucket = ["band", "value"]
     near = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
     sizes = spread.groupBy(*bucket).agg(F.count("*").alias("members")).where("members > 1")
-    shared = cut_lineage(spread.join(sizes, bucket))
+    shared = spread.join(sizes, bucket)
     central = shared.groupBy("key").agg(F.sum("members").alias("met"))
-    buckets = cut_lineage(shared.join(central, "key"))
+    buckets = written(shared.join(central, "key"))
     # The texts of all candidates, once: one row per text is told by its least id.
     wanted = (
         keyed.groupBy("key")
@@ -222,7 +222,7 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         .join(buckets.select("key").distinct(), "key", "left_semi")
     )
     same = (keyed["key"] == wanted["key"]) & keyed["id"].eqNullSafe(wanted["id"])
-    texts = cut_lineage(keyed.join(wanted, same, "left_semi").select("key", "text").distinct())
+    texts = written(keyed.join(wanted, same, "left_semi").select("key", "text").distinct())
 
     rank = F.struct("met", "key", "n", "class")
 
@@ -239,24 +239,25 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         )
         return pairs.join(known, ["a", "b"], "left_anti")
 
-    def mixed() -> DataFrame:
-        """Members of buckets that hold more than one class."""
-        rows = _labelled(buckets, links)
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Members of buckets that still hold more than one class."""
+        rows = _labelled(rows.drop("class", "main"), links)
         ends = rows.groupBy(*bucket).agg(
             F.min("class").alias("x"), F.max("class").alias("y"), F.max(rank).alias("first")
         )
         ends = ends.where("x <> y").select(*bucket, F.col("first.class").alias("main"))
-        return cut_lineage(rows.join(ends, bucket))
+        return written(rows.join(ends, bucket))
 
     each = buckets.withColumn("class", F.col("key"))
     links = _verified(with_pivot(each, each), texts)
+    rows = buckets
     while True:
-        rows = mixed()
+        rows = mixed(rows)
         found = _verified(untested(with_pivot(rows, rows.where("class <> main"))), texts)
         links = links.unionByName(found)
         if found.where(F.col("similarity") >= SIMILARITY).isEmpty():
             break
-    few = mixed().where(F.col("members") <= SMALL)
+    few = rows.where(F.col("members") <= SMALL)
     other = few.select(
         *bucket, F.col("key").alias("b"), F.col("n").alias("m"), F.col("class").alias("other")
     )

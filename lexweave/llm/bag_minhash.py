@@ -13,9 +13,11 @@ work is on distinct texts, named by a digest. Candidates are not paired out: a b
 compared with its most central text, the one that meets most others over all its buckets - for the
 edited copies of one text that is the text itself. Of what stays apart from it the most central text
 is compared next, and so on as long as a round finds links, each in proportion to the members.
-Buckets of up to eight members are then compared completely. A link needs a similarity of at least
-0.8, and linked texts form classes. A pair can be missed only if every bucket that it shares is
-large and has other pivots in every round, neither of them joining the two.
+Buckets that still hold several classes are then compared completely, whatever their size: a text
+carries the parity of its runs' hashes in 1024 bits, the bits in which two texts differ are at most
+the runs in which they differ, and a similarity of 0.8 allows a ninth of all runs. Only pairs within
+that bound leave the join. A link needs a similarity of at least 0.8, and linked texts form classes,
+so every pair of candidates is either compared, ruled out by the bound or in one class already.
 
 Cases: null and empty texts are equal to each other and form a class; a text without words is like
 its equals only; repeated rows and null ids are kept apart by content. Other columns pass unchanged.
@@ -38,8 +40,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 GROUP_CHARS = 1 << 19
-#: Members up to which a bucket is compared completely in the end.
-SMALL = 8
+#: 64-bit words of a text's parity bits.
+PARITY = 16
 
 
 class WordHashes(dict):
@@ -119,6 +121,12 @@ def band_hashes(times: np.ndarray) -> np.ndarray:
     return out.view("i8")
 
 
+def parity_bits(runs: np.ndarray) -> np.ndarray:
+    """One bit per value of the runs' top ten bits: whether their number is odd."""
+    odd = np.bincount((runs >> np.uint64(54)).astype(int), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype("u1"), bitorder="little").view("i8")
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
@@ -142,13 +150,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _signed(keys: list[bytes], runs: list[np.ndarray]) -> pa.RecordBatch:
     bands = band_hashes(signatures(runs))
     offsets = np.arange(0, bands.size + 1, BANDS, "i4")
+    odd = np.concatenate([parity_bits(r) for r in runs])
+    words = np.arange(0, odd.size + 1, PARITY, "i4")
     return pa.RecordBatch.from_arrays(
         [
             pa.array(keys, pa.binary()),
             pa.array([len(r) for r in runs], pa.int64()),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1))),
+            pa.ListArray.from_arrays(pa.array(words), pa.array(odd)),
         ],
-        ["key", "n", "bands"],
+        ["key", "n", "bands", "odd"],
     )
 
 
@@ -205,7 +216,7 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         "key", text_key(F.col("text"))
     )
     signed = keyed.select("key", "text").mapInArrow(
-        _sign, "key binary, n bigint, bands array<bigint>"
+        _sign, "key binary, n bigint, bands array<bigint>, odd array<bigint>"
     )
     signed = written(signed.dropDuplicates(["key"]))
     spread = signed.select("key", "n", F.posexplode("bands").alias("band", "value"))
@@ -257,15 +268,17 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         links = links.unionByName(found)
         if found.where(F.col("similarity") >= SIMILARITY).isEmpty():
             break
-    few = rows.where(F.col("members") <= SMALL)
-    other = few.select(
-        *bucket, F.col("key").alias("b"), F.col("n").alias("m"), F.col("class").alias("other")
+    left = rows.select(*bucket, "key", "n", "class").join(signed.select("key", "odd"), "key")
+    names = {"key": "b", "n": "m", "class": "other", "odd": "odd_b", "band": "band_b", "value": "value_b"}
+    other = left.withColumnsRenamed(names)
+    differ = sum(
+        (F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(PARITY)), F.lit(0)
     )
+    apart = (F.col("key") < F.col("b")) & (F.col("class") != F.col("other"))
+    bound = (9 * differ <= F.col("n") + F.col("m")) & near
+    same_bucket = (F.col("band") == F.col("band_b")) & (F.col("value") == F.col("value_b"))
     between = (
-        few.join(other, bucket)
-        .where((F.col("key") < F.col("b")) & (F.col("class") != F.col("other")) & near)
-        .select(F.col("key").alias("a"), "b")
-        .distinct()
+        left.join(other, same_bucket & apart & bound).select(F.col("key").alias("a"), "b").distinct()
     )
     links = links.unionByName(_verified(untested(between), texts))
     linked = links.where(F.col("similarity") >= SIMILARITY).select("a", "b")

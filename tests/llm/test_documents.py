@@ -1,10 +1,12 @@
 """Line dedup, near duplicates, repeats and outliers against brute force on small tables."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexweave.llm import bag_minhash, line_templates, robust_outliers, suffix_repeats
@@ -228,3 +230,37 @@ def test_repeated_rows_and_null_ids(table):
     assert bag_minhash.keep_one_of_each(df).count() == 2
     assert suffix_repeats.repeats(df).count() == 2
     assert robust_outliers.with_verdicts(df).count() == 3
+
+
+def test_a_large_bucket_is_compared_completely(table, monkeypatch):
+    rng = random.Random(21)
+    sign = bag_minhash._sign
+
+    def one_bucket(batches):
+        for batch in sign(batches):
+            at = batch.schema.get_field_index("bands")
+            bands = pa.array([[7] * bag_minhash.BANDS] * batch.num_rows, pa.list_(pa.int64()))
+            yield batch.set_column(at, batch.schema.field(at), bands)
+
+    monkeypatch.setattr(bag_minhash, "_sign", one_bucket)
+    texts = sorted((prose(80, rng) for _ in range(11)), key=lambda t: hashlib.md5(t.encode()).digest())
+    # All meet equally many, so the greatest digests are central: the last two, which link to nobody.
+    while True:
+        copy = edited(texts[0], 1, rng)
+        if hashlib.md5(copy.encode()).digest() < hashlib.md5(texts[-2].encode()).digest():
+            break
+    got = bag_minhash.duplicate_classes(table(documents([*texts, copy]), DOCS)).collect()
+    assert {r.doc_id: r.class_id for r in got} == {**{i: i for i in range(11)}, 11: 0}
+
+
+def test_parity_bits_differ_in_at_most_the_runs_that_differ():
+    rng = random.Random(22)
+    hashes = bag_minhash.WordHashes()
+    for n in (5, 60, 400):
+        text = prose(n, rng)
+        a, b = (bag_minhash.runs_of(t, hashes) for t in (text, edited(text, n // 10 + 1, rng)))
+        odd = (bag_minhash.parity_bits(a) ^ bag_minhash.parity_bits(b)).view("u1")
+        bits = int(np.unpackbits(odd).sum())
+        values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        counts = [np.bincount(x, minlength=len(values)) for x in (at[: len(a)], at[len(a) :])]
+        assert 0 < bits <= np.abs(counts[0] - counts[1]).sum()

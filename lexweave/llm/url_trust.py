@@ -2,10 +2,10 @@
 
 A rule names a host and a path prefix and fits that host and its subdomains; the longest fitting
 rule decides. Hosts that no rule decides get their verdict from the graph of links between hosts:
-personalised PageRank starts at trusted hosts (at least half of their pages are allowed by a rule)
-and follows links; distrust starts at distrusted hosts (at least half are blocked) and runs against
-the links, since a host is answerable for what it links to. A page is blocked if its host's
-distrust exceeds its trust and the host's even share of all distrust; else it is allowed.
+personalised PageRank starts at every host with pages that a rule allows, in proportion to their
+number, and follows links; distrust starts likewise at every host with blocked pages and runs against
+the links, since a host is answerable for what it links to. A host may seed both. A page is blocked
+if its host's distrust exceeds its trust and the host's even share of all distrust; else allowed.
 
 Edges are links per pair of different hosts, from absolute and scheme-relative addresses. Each
 round is a join of ranks with edges on the host and a combinable sum, and is written to the shared
@@ -119,14 +119,13 @@ def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFram
         .where("host <> ''")
         .groupBy("host")
         .agg(
-            F.count("*").alias("pages"),
             F.count(F.when(F.col("by_rule") == "allow", 1)).alias("allowed"),
             F.count(F.when(F.col("by_rule") == "block", 1)).alias("blocked"),
         )
     )
     seeds = None
     for kind, count in (("trust", "allowed"), ("distrust", "blocked")):
-        own = per_host.where(F.col(count) * 2 >= F.col("pages"))
+        own = per_host.where(F.col(count) > 0)
         whole = own.agg(F.sum(count).alias("all_pages"))
         own = own.crossJoin(F.broadcast(whole)).select(
             F.lit(kind).alias("kind"), "host", (F.col(count) / F.col("all_pages")).alias("seed")

@@ -227,6 +227,14 @@ def test_spread_is_power_iteration(table):
     assert all(abs(got.get(i, 0) - rank[i]) < 1e-12 for i in range(21))
 
 
+def test_a_host_with_few_blocked_pages_seeds_distrust(table):
+    rows = [(i, f"http://bad.net/{lang}/{i}", "") for i, lang in enumerate(["es", "fr", "en", "de", "it"])]
+    rows += [(5, "http://friend.org/", '<a href="http://bad.net/en/">'), (6, "http://quiet.org/", "")]
+    got = {r.page_id: r for r in url_trust.verdicts(table(rows, PAGES)).collect()}
+    assert [got[i].verdict for i in range(7)] == ["block"] * 6 + ["allow"]
+    assert got[2].distrust > got[5].distrust > 0 == got[6].distrust
+
+
 def test_pipeline_over_clashing_columns(spark, table, tmp_path):
     rng = random.Random(11)
     item = prose(30, rng)

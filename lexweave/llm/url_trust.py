@@ -9,7 +9,8 @@ if its host's distrust exceeds its trust and the host's even share of all distru
 
 Edges are links per pair of different hosts, from absolute and scheme-relative addresses. Each
 round is a join of ranks with edges on the host and a combinable sum, and is written to the shared
-folder. Rank that reaches a host without links goes back to the seeds.
+folder. Rank that reaches a host without links goes back to the seeds. Rounds go on until the summed
+change of the ranks is under a thousandth of a host's even share, whatever the number of hosts.
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed;
 null html has no links; repeated rows count each time; ties and hosts outside the graph are
@@ -34,7 +35,10 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
-ROUNDS, DAMPING = 12, 0.85
+DAMPING = 0.85
+#: Rounds end when ranks change by less than this part of an even share; by damping alone that takes
+#: 175 rounds for a billion hosts, so more than LIMIT is an error.
+SETTLED, LIMIT = 1e-3, 300
 
 
 def lower_ascii(value: Column) -> Column:
@@ -78,8 +82,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank per ``kind``: edges (kind, src, dst, links), seeds (kind, host, seed)."""
+def spread(
+    edges: DataFrame, seeds: DataFrame, rounds: int | None = None, hosts: int = 1
+) -> DataFrame:
+    """Personalised PageRank per ``kind``: edges (kind, src, dst, links), seeds (kind, host, seed).
+
+    As many ``rounds`` as given, or until the ranks have settled for the graph or for ``hosts`` hosts
+    if these are more.
+    """
     out = edges.groupBy("kind", "src").agg(F.sum("links").alias("all_links"))
     shares = cut_lineage(
         edges.join(out, ["kind", "src"]).select(
@@ -90,7 +100,11 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFram
     ranks = seeds.select("kind", "host", F.col("seed").alias("rank"))
     if shares.isEmpty():
         return ranks
-    for _ in range(rounds):
+    ends = shares.select("src").unionByName(shares.select(F.col("dst").alias("src")))
+    nodes = ends.unionByName(seeds.select(F.col("host").alias("src"))).distinct().count()
+    bound = SETTLED / max(hosts, nodes)
+    none = F.lit(0.0)
+    for _ in range(LIMIT if rounds is None else rounds):
         passed = (
             ranks.join(shares, (ranks["host"] == shares["src"]) & (ranks["kind"] == shares["kind"]))
             .groupBy(shares["kind"], F.col("dst").alias("host"))
@@ -100,19 +114,25 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFram
         # Two rows: what the links passed on, per kind. The seeds get the rest.
         moved = passed.groupBy("kind").agg(F.sum("passed").alias("moved"))
         restart = seeds.join(F.broadcast(moved), "kind", "left").select(
-            "kind", "host", (F.col("seed") * (1 - F.coalesce("moved", F.lit(0.0)))).alias("restart")
-        )
-        ranks = cut_lineage(
-            restart.join(passed, ["kind", "host"], "full").select(
-                "kind",
-                "host",
-                (F.coalesce("restart", F.lit(0.0)) + F.coalesce("passed", F.lit(0.0))).alias("rank"),
-            )
+            "kind", "host", (F.col("seed") * (1 - F.coalesce("moved", none))).alias("rank"), none.alias("was")
         )
+        parts = restart.unionByName(
+            passed.select("kind", "host", F.col("passed").alias("rank"), none.alias("was"))
+        ).unionByName(ranks.select("kind", "host", none.alias("rank"), F.col("rank").alias("was")))
+        sums = F.sum("rank").alias("rank"), F.sum("was").alias("was")
+        both = cut_lineage(parts.groupBy("kind", "host").agg(*sums))
+        ranks = both.select("kind", "host", "rank")
+        if rounds is None:
+            changes = both.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("change"))
+            if (changes.agg(F.max("change")).first()[0] or 0.0) < bound:
+                break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"ranks did not settle in {LIMIT} rounds")
     return ranks
 
 
-def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
+def host_scores(pages: DataFrame, rules=RULES, rounds: int | None = None) -> DataFrame:
     """host, trust, distrust, blocked for every host of the pages or the graph that has a score."""
     per_host = cut_lineage(
         judged(pages, rules)
@@ -137,7 +157,7 @@ def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFram
             F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links"
         )
     )
-    ranks = spread(both, seeds, rounds)
+    ranks = spread(both, seeds, rounds, per_host.count())
     scores = ranks.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"),
@@ -149,7 +169,7 @@ def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFram
     return scores.crossJoin(F.broadcast(hosts)).withColumn("blocked", bad).drop("hosts")
 
 
-def verdicts(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
+def verdicts(pages: DataFrame, rules=RULES, rounds: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust."""
     scores = host_scores(pages, rules, rounds)
     joined = judged(pages, rules).join(scores, "host", "left")

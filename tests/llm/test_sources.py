@@ -235,6 +235,18 @@ def test_a_host_with_few_blocked_pages_seeds_distrust(table):
     assert got[2].distrust > got[5].distrust > 0 == got[6].distrust
 
 
+def test_ranks_reach_the_end_of_a_long_chain(table):
+    edges = [("t", f"{i:02}", f"{i + 1:02}", 1) for i in range(15)]
+    out = url_trust.spread(
+        table(edges, "kind string, src string, dst string, links long"),
+        table([("t", "00", 1.0)], "kind string, host string, seed double"),
+    )
+    want = np.array([url_trust.DAMPING**i for i in range(16)])
+    want /= want.sum()  # what the last host can't pass on starts again
+    got = {r.host: r["rank"] for r in out.collect()}
+    assert all(abs(got[f"{i:02}"] - want[i]) < 0.01 / 16 for i in range(16))
+
+
 def test_pipeline_over_clashing_columns(spark, table, tmp_path):
     rng = random.Random(11)
     item = prose(30, rng)

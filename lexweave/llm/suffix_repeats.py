@@ -1,17 +1,11 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages: every window of 50 words that two texts share.
 
-Only the suffixes at content-selected places are kept: a place whose run of 12 words has the least
-hash among 39 consecutive runs. Any passage of 50 words holds 39 runs, so equal passages keep a
-suffix at the same place whatever surrounds them. About one word in twenty starts a suffix.
-
-First the runs' hashes alone are counted; a bitmap of fixed size (16 MB) then tells which suffixes
-can have a partner, and only these are written out with 50 words to either side, two bytes a word.
-The suffixes are sorted over the whole corpus by range partitions, by what follows and again by what
-precedes them; one run that occurs in a third of all texts is spread over as many partitions as its
-rows need. Each suffix is compared with the
-four before it from other texts, the match is extended to the right and the left, and both places
-are reported if it has at least 50 words; rows at a partition's ends meet their neighbours in a
-second comparison. A longer passage is covered by the suffixes inside it.
+A window holds 39 runs of 12 words, and the least of their hashes is the same wherever the window
+stands. Only about one run in twenty is the least of some window, so these are counted first; a
+bitmap of fixed size (16 MB) then tells which windows can have a partner. Hashes of these windows are
+counted by distinct texts in one combinable sum, so frequent runs and repeats inside a text cost no
+comparisons and hide no partner. A second bitmap tells which places are worth writing out; a join on
+the window's hash decides. The windows of a text are merged to spans.
 
 Cases: null, empty and shorter texts have no repeats of their own. Equal texts are one text here
 and, with at least 50 words, repeated as a whole. Words are cut at white space and compared as they
@@ -24,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +27,9 @@ from lexweave.session import cut_lineage
 
 LEAST, RUN = 50, 12
 WINDOW = LEAST - RUN + 1
-SIDE = LEAST
-NEIGHBOURS, BITS = 4, 27
+BITS = 27
+#: Windows after which a task hands on what it has.
+CHUNK = 1 << 18
 
 
 def sliding(values: np.ndarray, size: int, pick) -> np.ndarray:
@@ -51,32 +45,20 @@ def sliding(values: np.ndarray, size: int, pick) -> np.ndarray:
     return pick(back[:n], ahead[size - 1 : size - 1 + n])
 
 
-def selected(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of a text's kept suffixes and the hashes of their first runs."""
-    n = len(words) - RUN + 1
-    if n < WINDOW:
-        return np.empty(0, int), np.empty(0, "u8")
-    run = np.full(n, RUN, "u8")
-    for i in range(RUN):
-        run = run * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n]
-    run = mix(run)
-    least = sliding(run, WINDOW, np.minimum)
-    # A place is selected if it is the least of some window that holds it.
-    wide = np.zeros(len(least) + 2 * (WINDOW - 1), "u8")
-    wide[WINDOW - 1 : WINDOW - 1 + len(least)] = least
-    at = np.nonzero(run == sliding(wide, WINDOW, np.maximum))[0]
-    # Where a text repeats itself all runs may tie; a suffix every few words covers these.
-    if len(at) > 1:
-        same = np.append(False, run[at[1:]] == run[at[:-1]])
-        near = np.append(False, np.diff(at) < WINDOW // 2)
-        if (same & near).any():
-            kept, last, value = [], -WINDOW, None
-            for place, tied in zip(at.tolist(), (same & near).tolist()):
-                if not tied or place - last >= WINDOW // 2:
-                    kept.append(place)
-                    last = place
-            at = np.array(kept)
-    return at, run[at]
+def powers(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` words in order."""
+    n = len(words) - size + 1
+    out = np.full(n, size, "u8")
+    for i in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n]
+    return mix(out)
+
+
+def least_runs(words: np.ndarray) -> np.ndarray:
+    """The least hash of a run in every window of a text."""
+    if len(words) < LEAST:
+        return np.empty(0, "u8")
+    return sliding(powers(words, RUN), WINDOW, np.minimum)
 
 
 def hashed(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -84,15 +66,15 @@ def hashed(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.fromiter(map(hashes.__getitem__, words), "u8", len(words))
 
 
-def suffix_counts(texts: DataFrame) -> DataFrame:
-    """The hashes of runs at selected places of at least two different texts."""
+def run_counts(texts: DataFrame) -> DataFrame:
+    """The hashes of runs that are the least of windows of at least two different texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             runs, owners, size = [], [], 0
             for key, text in zip(batch.column(0), batch.column(1)):
-                found = np.unique(selected(hashed(text.as_py(), hashes))[1])
+                found = np.unique(least_runs(hashed(text.as_py(), hashes)))
                 runs.append(found)
                 owners.append(np.full(len(found), int.from_bytes(key.as_py()[:8], "little"), "u8"))
             yield pa.RecordBatch.from_arrays(
@@ -108,11 +90,11 @@ def suffix_counts(texts: DataFrame) -> DataFrame:
     return ends.where("x <> y").select("run")
 
 
-def _bitmap(runs: DataFrame) -> np.ndarray:
+def _bitmap(found: DataFrame) -> np.ndarray:
     """One bit per value of the leading bits: at most 2**21 numbers come to the driver."""
-    place = F.shiftrightunsigned("run", 64 - BITS)
+    place = F.shiftrightunsigned(found.columns[0], 64 - BITS)
     words = (
-        runs.select(place.alias("place"))
+        found.select(place.alias("place"))
         .select(
             F.shiftrightunsigned("place", 6).cast("int").alias("word"),
             F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"),
@@ -126,49 +108,60 @@ def _bitmap(runs: DataFrame) -> np.ndarray:
     return bitmap
 
 
-SUFFIX = "run bigint, right binary, left binary, key binary, at int"
-NAMES = ["run", "right", "left", "key", "at"]
+def _among(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = values >> np.uint64(64 - BITS)
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
 
+def windows(texts: DataFrame, runs: np.ndarray, repeated: np.ndarray | None = None) -> DataFrame:
+    """(window, key, at) of every window whose least run is in the bitmap ``runs`` and whose hash is in
+    the bitmap ``repeated``; without the latter (window, owner), each window once a text."""
+    context = texts.sparkSession.sparkContext
+    first, second = context.broadcast(runs), None if repeated is None else context.broadcast(repeated)
 
-def suffixes(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run, right, left, key, at) of every kept suffix that can have a partner."""
-    shared = texts.sparkSession.sparkContext.broadcast(_bitmap(runs))
+    def batch_of(found: list[np.ndarray], keys: list[bytes], at: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = [len(f) for f in found]
+        ids = np.repeat(np.frombuffer(b"".join(keys), "u8").reshape(-1, 2), sizes, 0)
+        window = pa.array(np.concatenate(found).view("i8"))
+        if second is None:
+            owner = pa.array(np.ascontiguousarray(ids[:, 0]).view("i8"))
+            return pa.RecordBatch.from_arrays([window, owner], ["window", "owner"])
+        places = pa.array(np.concatenate(at).astype("i4"))
+        return pa.RecordBatch.from_arrays(
+            [window, _fixed(ids, pa.binary(16)), places], ["window", "key", "at"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = WordHashes(), shared.value.view("u8")
-        sides = np.arange(SIDE)
+        hashes = WordHashes()
         for batch in batches:
-            seen = set()
+            seen, found, keys, places, size = set(), [], [], [], 0
             for key, text in zip(batch.column(0), batch.column(1)):
                 key = key.as_py()
                 if key in seen:
                     continue
                 seen.add(key)
                 words = hashed(text.as_py(), hashes)
-                at, found = selected(words)
-                place = found >> np.uint64(64 - BITS)
-                hit = (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
-                at, found = at[hit == 1], found[hit == 1]
+                at = np.nonzero(_among(first.value.view("u8"), least_runs(words)))[0]
                 if not len(at):
                     continue
-                # Zero, which stands outside of the text, is nobody's word.
-                short = np.zeros(len(words) + 2 * SIDE, "u2")
-                short[SIDE:-SIDE] = np.maximum(words >> np.uint64(48), np.uint64(1))
-                right = short[at[:, None] + SIDE + sides]
-                left = short[at[:, None] + SIDE - 1 - sides]
-                width = pa.binary(2 * SIDE)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(found.view("i8")),
-                        _fixed(right, width),
-                        _fixed(left, width),
-                        pa.array([key] * len(at), pa.binary()),
-                        pa.array(at.astype("i4")),
-                    ],
-                    NAMES,
-                )
-
-    return texts.mapInArrow(run, SUFFIX).distinct()
+                window = powers(words, LEAST)[at]
+                if second is None:
+                    window = np.unique(window)
+                else:
+                    hit = _among(second.value.view("u8"), window)
+                    window, at = window[hit], at[hit]
+                found.append(window)
+                keys.append(key)
+                places.append(at)
+                size += len(window)
+                if size > CHUNK:
+                    yield batch_of(found, keys, places)
+                    found, keys, places, size = [], [], [], 0
+            if size:
+                yield batch_of(found, keys, places)
+
+    kind = "window bigint, owner bigint" if repeated is None else "window bigint, key binary, at int"
+    return texts.mapInArrow(run, kind)
 
 
 def _fixed(values: np.ndarray, width: pa.DataType) -> pa.Array:
@@ -176,100 +169,14 @@ def _fixed(values: np.ndarray, width: pa.DataType) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(width, len(values), [None, data]).cast(pa.binary())
 
 
-def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many leading words agree, row by row."""
-    differ = (a != b) | (a == 0)
-    return np.where(differ.any(1), differ.argmax(1), a.shape[1])
-
-
-def neighbour_spans(
-    run: np.ndarray, right: np.ndarray, left: np.ndarray, keys: np.ndarray, at: np.ndarray
-) -> list[tuple[bytes, int, int]]:
-    """Spans of at least 50 words that sorted suffixes share with one of the four before them."""
-    spans = []
-    for back in range(1, NEIGHBOURS + 1):
-        pair = np.nonzero((run[back:] == run[:-back]) & (keys[back:] != keys[:-back]))[0]
-        if not len(pair):
-            continue
-        ahead = _agreeing(right[pair], right[pair + back])
-        behind = _agreeing(left[pair], left[pair + back])
-        long = ahead + behind >= LEAST
-        for rows in (pair[long], pair[long] + back):
-            start, end = at[rows] - behind[long], at[rows] + ahead[long]
-            spans += zip(keys[rows].tolist(), start.tolist(), end.tolist())
-    return list(set(spans))
-
-
-COMPARED = f"part int, seq bigint, start int, stop int, {SUFFIX}"
-_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(),
-          pa.binary(), pa.int32()]
-
-
-def _rows(table: pa.Table) -> tuple:
-    sides = [
-        np.frombuffer(b"".join(table[c].to_pylist()), "u2").reshape(-1, SIDE)
-        for c in ("right", "left")
-    ]
-    keys = np.empty(len(table), object)
-    keys[:] = table["key"].to_pylist()
-    return table["run"].to_numpy(), *sides, keys, table["at"].to_numpy()
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of sorted suffixes; and the first and last rows, for the neighbouring partitions."""
-    part, seq, before = TaskContext.get().partitionId(), 0, None
-    names = [f.split(" ")[0] for f in COMPARED.split(", ")]
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, _TYPES)], names
-        )
-
-    def ends(table: pa.Table, first: int) -> list[tuple]:
-        return [
-            (part, first + i, None, None, *(r[c] for c in NAMES))
-            for i, r in enumerate(table.to_pylist())
-        ]
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch]).select(NAMES)
-        if not len(table):
-            continue
-        if seq < NEIGHBOURS:
-            yield out(ends(table.slice(0, NEIGHBOURS - seq), seq))
-        seq += len(table)
-        table = pa.concat_tables([before, table]) if before is not None else table
-        spans = neighbour_spans(*_rows(table))
-        if spans:
-            yield out(
-                [(part, None, a, b, None, None, None, key, None) for key, a, b in spans]
-            )
-        before = table.slice(max(0, len(table) - NEIGHBOURS))
-    if before is not None and seq > NEIGHBOURS:
-        skip = max(0, 2 * NEIGHBOURS - seq)
-        last = before.slice(skip)
-        yield out(ends(last, seq - len(last)))
-
-
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key, start, stop): spans of words that a text shares with another one; they may overlap."""
+    """(key, start, stop): windows of words that a text shares with another one; they may overlap."""
     texts = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
-    spark = docs.sparkSession
-    kept = cut_lineage(suffixes(texts, suffix_counts(texts)))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spans = None
-    # Neighbours in the order of what follows share most to the right, in the other most to the left.
-    for order in (["run", "right", "key", "at"], ["run", "left", "key", "at"]):
-        ordered = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        compared = cut_lineage(ordered.mapInArrow(_compare, COMPARED))
-        # At most eight rows of each partition, in the order of the partitions.
-        edges = compared.where("seq is not null").select("part", "seq", *NAMES)
-        seams = edges.repartition(1).sortWithinPartitions("part", "seq").select(*NAMES)
-        across = seams.mapInArrow(_compare, COMPARED)
-        for found in (compared, across):
-            own = found.where("start is not null").select("key", "start", "stop")
-            spans = own if spans is None else spans.unionByName(own)
+    runs = _bitmap(run_counts(texts))
+    ends = windows(texts, runs).groupBy("window").agg(F.min("owner").alias("x"), F.max("owner").alias("y"))
+    repeated = cut_lineage(ends.where("x <> y").select("window"))
+    places = windows(texts, runs, _bitmap(repeated)).join(repeated, "window", "left_semi")
+    spans = places.select("key", F.col("at").alias("start"), (F.col("at") + LEAST).alias("stop"))
     return spans.distinct()
 
 

@@ -264,3 +264,34 @@ def test_parity_bits_differ_in_at_most_the_runs_that_differ():
         values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         counts = [np.bincount(x, minlength=len(values)) for x in (at[: len(a)], at[len(a) :])]
         assert 0 < bits <= np.abs(counts[0] - counts[1]).sum()
+
+
+def test_frequent_runs_hide_no_partner(table):
+    rng = random.Random(31)
+    stock = prose(12, rng)
+    start, end = prose(60, rng), prose(60, rng)
+
+    def around(before, after):
+        """The stock run with so many words of the passage on either side."""
+        left = (prose(60, rng) + " " + " ".join(start.split()[60 - before :])).split()[-60:]
+        right = (" ".join(end.split()[:after]) + " " + prose(60, rng)).split()[:60]
+        return " ".join(left + stock.split() + right)
+
+    pair = [around(25, 20), around(25, 20)]
+    crowd = [around(2, 30) for _ in range(12)] + [around(34, 2) for _ in range(12)]
+    inside = prose(50, rng)
+    texts = [*pair, *crowd, " ".join(f"{inside} {prose(5, rng)}" for _ in range(12)), prose(9, rng) + " " + inside]
+    got = {r.doc_id: r for r in suffix_repeats.repeats(table(documents(texts), DOCS)).collect()}
+    owners = defaultdict(set)
+    for i, text in enumerate(texts):
+        for at in range(len(text.split()) - 49):
+            owners[tuple(text.split()[at : at + 50])].add(i)
+    for i, text in enumerate(texts):
+        words = text.split()
+        want = set()
+        for at in range(len(words) - 49):
+            if len(owners[tuple(words[at : at + 50])]) > 1:
+                want.update(range(at, at + 50))
+        own = {w for s in got[i].spans for w in range(s.start, s.stop)} if i in got else set()
+        assert own == want, i
+    assert got[0].repeated_words == 57 and got[26].repeated_words == 600

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import bpe, chat, warc
+from lexweave.llm import bpe, chat, equal_average, filter_audit, warc
 from lexweave.llm.bag_minhash import duplicate_classes
 from lexweave.llm.contamination import leaks
 from lexweave.llm.line_templates import line_report
@@ -16,7 +17,9 @@ from lexweave.llm.positive_unlabelled import is_held_out, score, train
 from lexweave.llm.robust_outliers import with_verdicts
 from lexweave.llm.suffix_repeats import repeats
 from lexweave.llm.support import read
+from lexweave.llm.token_counts import token_counts
 from lexweave.llm.url_trust import verdicts
+from lexweave.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -144,3 +147,105 @@ def op4_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
 def op10_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """Every document that shares a passage of 50 words or more with another text."""
     return repeats(read(spark, folder, "documents", "doc_id", "text"))
+
+
+SQL_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+w AS (SELECT doc_id, t, part, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+             min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+m AS (SELECT doc_id, part,
+             (len(words) < 200)::INT
+             + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+             + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT
+             + 16 * coalesce(doc_id > first, FALSE)::INT AS failed
+      FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic
+      FROM labels GROUP BY doc_id),
+c AS (SELECT part, failed, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM m LEFT JOIN l USING (doc_id) GROUP BY part, failed),
+f(i, name) AS (VALUES (0, 'A'), (1, 'B'), (2, 'C'), (3, 'D'), (4, 'E')),
+o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order,
+             [1 << a.i, 1 << b.i, 1 << c.i, 1 << d.i, 1 << e.i] AS bits
+      FROM f a, f b, f c, f d, f e
+      WHERE (1 << a.i) | (1 << b.i) | (1 << c.i) | (1 << d.i) | (1 << e.i) = 31),
+s AS (SELECT filter_order, step, bits[step] AS own,
+             coalesce(list_sum(list_slice(bits, 1, step - 1)), 0)::INT AS before
+      FROM o, range(1, 6) AS r(step)),
+k AS (SELECT part, filter_order, step, own,
+             coalesce(sum(n) FILTER (failed & (before | own) = 0), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (failed & before = 0 AND failed & own > 0), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (failed & before > 0 AND failed & own > 0), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (failed = own), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (failed & before = 0 AND failed & own > 0), 0)::BIGINT AS good_lost,
+             coalesce(sum(toxic) FILTER (failed & before = 0 AND failed & own > 0), 0)::BIGINT AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM k"""
+
+
+@query("op11_filter_audit", SQL_AUDIT)
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters removes in every order of them, per source."""
+    return filter_audit.audit(
+        read(spark, folder, "documents", "doc_id", "text", "source"),
+        read(spark, folder, "labels", "doc_id", "quality", "toxic"),
+    )
+
+
+def _sql_codes(rounds: int) -> str:
+    """The codebooks of each round follow from the assignments to those of the round before."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+e{i} AS (SELECT *, list_dot_product(c, c) AS cc FROM c{i}),
+a{i} AS (SELECT r, part, x, arg_min(entry, (round(xx - 2 * list_dot_product(x, c) + cc)::BIGINT, entry)) AS entry,
+               min(round(xx - 2 * list_dot_product(x, c) + cc)::BIGINT) AS distance
+        FROM p JOIN e{i} USING (part) GROUP BY r, part, x)""")
+        if i < rounds:
+            steps.append(f"""
+u{i} AS (SELECT part, entry, place, floor(sum(x[place]) / count(*)) AS mean
+        FROM a{i}, unnest(generate_series(1, len(x))) AS g(place) GROUP BY part, entry, place),
+v{i} AS (SELECT part, entry, list(mean ORDER BY place) AS c FROM u{i} GROUP BY part, entry),
+c{i + 1} AS (SELECT part, entry, coalesce(v{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN v{i} USING (part, entry))""")
+    return f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+                  list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+           FROM embeddings
+           WHERE embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+h AS (SELECT r, part, list_slice(v, part * len(v) // 4 + 1, (part + 1) * len(v) // 4) AS x
+      FROM k, range(4) AS t(part)),
+p AS (SELECT *, list_dot_product(x, x) AS xx FROM h),
+c0 AS (SELECT part, r - 1 AS entry, x AS c FROM h WHERE r <= 256),{','.join(steps)},
+b AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ','
+                               ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}),
+s AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code,
+             sum(distance)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM k JOIN s USING (r), b"""
+
+
+@query("op12_equal_average", _sql_codes(4))
+def op12_equal_average(spark: SparkSession, folder: str) -> DataFrame:
+    """The codes of every vector by four codebooks of 256 entries, with their errors."""
+    vectors = read(spark, folder, "embeddings", "vec_id", "embedding", "label")
+    digits = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return equal_average.compressed(vectors).select(
+        F.col("id").alias("vec_id"),
+        digits.alias("code"),
+        "error",
+        "label_error",
+        F.col("codebooks").alias("codebooks_sha256"),
+    )
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The token count of every document; each call fills a cache of its own, so that its work is whole."""
+    documents = read(spark, folder, "documents", "doc_id", "text")
+    cache = f"{ensure_checkpoint_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    return token_counts(documents, VOCABULARY, cache).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit")
+    )

@@ -114,3 +114,26 @@ def may_be_among(df: DataFrame, own: Column, keys: DataFrame, name: str) -> Data
     joined = joined.join(F.broadcast(bits), word, "left")
     is_set = F.expr(f"(shiftright(`{bit}`, cast(`{name}` & 63 as int)) & 1) = 1")
     return joined.withColumn(name, F.coalesce(is_set, F.lit(False))).drop(word, bit)
+
+
+#: A key is hot if it has at least this part of all rows; there can be no more hot keys than this.
+HOT_KEYS = 1000
+
+
+def looked_up(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``df`` left-joined with ``table``, which has one row per ``key`` and shares no other column.
+
+    Keys with a thousandth of all rows or more, a thousand at most, get their row by broadcast; all other keys
+    are shuffled, so no task holds more than a small part of the rows of ``df``. Null keys have no
+    row. ``df`` is read three times and should be a written table.
+    """
+    flag = fresh("is_hot", [*df.columns, *table.columns])
+    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(flag))
+    total = counted.agg(F.sum(flag)).first()[0] or 0
+    hot = cut_lineage(counted.where(F.col(flag) * HOT_KEYS >= total).where(F.col(flag) > 1).select(key))
+    rows = cut_lineage(table.join(F.broadcast(hot), key, "left_semi"))
+    hot = hot.join(F.broadcast(rows), key, "left").withColumn(flag, F.lit(True))
+    split = df.join(F.broadcast(hot), key, "left")
+    settled = F.col(flag).isNotNull() | F.col(key).isNull()
+    others = split.where(~settled).select(*df.columns).join(table, key, "left")
+    return split.where(settled).select(*others.columns).unionByName(others)

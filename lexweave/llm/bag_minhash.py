@@ -9,15 +9,16 @@ similarity, since blocks and points do not depend on the text, and a run that oc
 log w processes. Points later than every register's are never drawn.
 
 Texts that agree in a band of five registers are candidates. Equal texts collapse beforehand, so
-work is on distinct texts, named by a digest. Candidates are not paired out: a bucket's members are
-compared with its most central text, the one that meets most others over all its buckets - for the
-edited copies of one text that is the text itself. Of what stays apart from it the most central text
-is compared next, and so on as long as a round finds links, each in proportion to the members.
-Buckets that still hold several classes are then compared completely, whatever their size: a text
-carries the parity of its runs' hashes in 1024 bits, the bits in which two texts differ are at most
-the runs in which they differ, and a similarity of 0.8 allows a ninth of all runs. Only pairs within
-that bound leave the join. A link needs a similarity of at least 0.8, and linked texts form classes,
-so every pair of candidates is either compared, ruled out by the bound or in one class already.
+work is on distinct texts, named by a digest. Candidates are not paired out. First, a bucket's members
+are compared with its most central text, the one that meets most others over all its buckets - for the
+edited copies of one text that is the text itself. What stays apart from it in a bucket is held
+against the bucket's other members by a bound: a text carries the parity of its runs' hashes in 1024
+bits, the bits in which two texts differ are at most the runs in which they differ, and a similarity of
+0.8 allows a ninth of all runs. Each such text is compared with the one it differs least from, which links
+most that have a link; then all pairs within the bound that still lie in different classes are compared. A link needs a
+similarity of at least 0.8, and linked texts form classes, so every pair of candidates is either
+compared, ruled out by the bound or in one class already. Members of a large bucket are dealt to several
+tasks, and no table outlives the step that reads it.
 
 Cases: null and empty texts are equal to each other and form a class; a text without words is like
 its equals only; repeated rows and null ids are kept apart by content. Other columns pass unchanged.
@@ -33,8 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.support import components, fresh, text_key, written
-from lexweave.session import cut_lineage
+from lexweave.llm.support import Scratch, components, fresh, may_be_among, once_a_task, text_key, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -42,6 +42,8 @@ REGISTERS = BANDS * ROWS
 GROUP_CHARS = 1 << 19
 #: 64-bit words of a text's parity bits.
 PARITY = 16
+#: Members of a bucket that one task holds against all of the bucket.
+SHARE = 2048
 
 
 class WordHashes(dict):
@@ -189,19 +191,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The similarity of every pair; ``texts`` has one row per key."""
     left = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "text_a"}), "a")
     both = left.join(texts.withColumnsRenamed({"key": "b", "text": "text_b"}), "b")
-    compared = both.select("a", "b", "text_a", "text_b").mapInArrow(
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(
         _compare, "a binary, b binary, similarity double"
     )
-    return cut_lineage(compared)
+
+
+def _both_ways(links: DataFrame) -> DataFrame:
+    turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return links.select("a", "b").unionByName(turned)
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """``members`` with ``class``, the least text within two links: enough to tell most classes apart
     or together, and texts that it tells apart are merely compared once more."""
-    linked = links.where(F.col("similarity") >= SIMILARITY)
-    both = linked.select("a", "b").unionByName(
-        linked.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    )
+    both = _both_ways(links.where(F.col("similarity") >= SIMILARITY))
     one = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("near"))
     far = one.select(F.col("a").alias("near"), F.col("near").alias("far"))
     two = one.join(far, "near", "left").select(
@@ -210,78 +213,93 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(two, "key", "left").withColumn("class", F.coalesce("class", "key"))
 
 
-def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, root): the class of every distinct text that has a link to another one."""
-    keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn(
-        "key", text_key(F.col("text"))
+def _apart(rows: DataFrame, odd: DataFrame) -> DataFrame:
+    """(a, b, differ): members of a bucket in different classes that the bound does not rule out.
+
+    ``a`` is outside the class of the bucket's central text. A large bucket's ``a`` are dealt to several
+    tasks by their key, each with all ``b``.
+    """
+    ends = rows.groupBy("bucket").agg(
+        F.min("class").alias("x"),
+        F.max("class").alias("y"),
+        F.max_by("class", F.struct("met", "key")).alias("main"),
+        F.ceil(F.count("*") / SHARE).cast("int").alias("shares"),
     )
-    signed = keyed.select("key", "text").mapInArrow(
-        _sign, "key binary, n bigint, bands array<bigint>, odd array<bigint>"
+    mixed = rows.join(ends.where("x <> y").select("bucket", "main", "shares"), "bucket").join(odd, "key")
+    left = mixed.where("class <> main").select(
+        "bucket",
+        F.pmod(F.xxhash64("key"), "shares").cast("int").alias("share"),
+        F.col("key").alias("a"),
+        F.col("class").alias("own"),
+        F.col("n").alias("m"),
+        F.col("odd").alias("odd_a"),
     )
-    signed = written(signed.dropDuplicates(["key"]))
-    spread = signed.select("key", "n", F.posexplode("bands").alias("band", "value"))
-    bucket = ["band", "value"]
-    near = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
-    sizes = spread.groupBy(*bucket).agg(F.count("*").alias("members")).where("members > 1")
-    shared = spread.join(sizes, bucket)
-    central = shared.groupBy("key").agg(F.sum("members").alias("met"))
-    buckets = written(shared.join(central, "key"))
-    # The texts of all candidates, once: one row per text is told by its least id.
-    wanted = (
-        keyed.groupBy("key")
-        .agg(F.min("id").alias("id"))
-        .join(buckets.select("key").distinct(), "key", "left_semi")
+    right = mixed.select(
+        "bucket",
+        F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
+        F.col("key").alias("b"),
+        "class",
+        "n",
+        "odd",
     )
-    same = (keyed["key"] == wanted["key"]) & keyed["id"].eqNullSafe(wanted["id"])
-    texts = written(keyed.join(wanted, same, "left_semi").select("key", "text").distinct())
+    differ = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd")[i])) for i in range(PARITY)), F.lit(0))
+    bound = (9 * differ <= F.col("n") + F.col("m")) & _near("n", "m")
+    joined = left.hint("merge").join(right, ["bucket", "share"]).where((F.col("own") != F.col("class")) & bound)
+    return joined.select("a", "b", differ.alias("differ"))
 
-    rank = F.struct("met", "key", "n", "class")
 
-    def with_pivot(rows: DataFrame, pivots: DataFrame) -> DataFrame:
-        """Pairs of a member and its bucket's pivot that are not in one class."""
-        chosen = pivots.groupBy(*bucket).agg(F.max(rank).alias("pivot"))
-        joined = rows.join(chosen, bucket).withColumn("m", F.col("pivot.n"))
-        apart = joined.where((F.col("class") != F.col("pivot.class")) & near)
-        return apart.select(F.col("key").alias("a"), F.col("pivot.key").alias("b")).distinct()
+def _near(n: str, m: str):
+    return F.least(n, m) >= SIMILARITY * F.greatest(n, m)
 
-    def untested(pairs: DataFrame) -> DataFrame:
-        known = links.select("a", "b").unionByName(
-            links.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        )
-        return pairs.join(known, ["a", "b"], "left_anti")
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Members of buckets that still hold more than one class."""
-        rows = _labelled(rows.drop("class", "main"), links)
-        ends = rows.groupBy(*bucket).agg(
-            F.min("class").alias("x"), F.max("class").alias("y"), F.max(rank).alias("first")
-        )
-        ends = ends.where("x <> y").select(*bucket, F.col("first.class").alias("main"))
-        return written(rows.join(ends, bucket))
-
-    each = buckets.withColumn("class", F.col("key"))
-    links = _verified(with_pivot(each, each), texts)
-    rows = buckets
-    while True:
-        rows = mixed(rows)
-        found = _verified(untested(with_pivot(rows, rows.where("class <> main"))), texts)
-        links = links.unionByName(found)
-        if found.where(F.col("similarity") >= SIMILARITY).isEmpty():
-            break
-    left = rows.select(*bucket, "key", "n", "class").join(signed.select("key", "odd"), "key")
-    names = {"key": "b", "n": "m", "class": "other", "odd": "odd_b", "band": "band_b", "value": "value_b"}
-    other = left.withColumnsRenamed(names)
-    differ = sum(
-        (F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(PARITY)), F.lit(0)
-    )
-    apart = (F.col("key") < F.col("b")) & (F.col("class") != F.col("other"))
-    bound = (9 * differ <= F.col("n") + F.col("m")) & near
-    same_bucket = (F.col("band") == F.col("band_b")) & (F.col("value") == F.col("value_b"))
-    between = (
-        left.join(other, same_bucket & apart & bound).select(F.col("key").alias("a"), "b").distinct()
+def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, root): the class of every distinct text that has a link to another one."""
+    scratch = Scratch(docs.sparkSession)
+    keyed = docs.select(text_key(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    signed = keyed.mapInArrow(_sign, "key binary, n bigint, bands array<bigint>, odd array<bigint>")
+    signed = scratch.keep(signed.dropDuplicates(["key"]))
+    band = F.posexplode("bands").alias("band", "value")
+    spread = signed.select("key", "n", band).select("key", "n", F.xxhash64("band", "value").alias("bucket"))
+    sizes = scratch.keep(spread.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
+    maybe = may_be_among(spread, F.col("bucket"), sizes.select("bucket"), "maybe").where("maybe")
+    # At most one row per band meets in a text, so the lists are short.
+    met = maybe.join(sizes, "bucket").groupBy("key", "n").agg(
+        F.sum("members").alias("met"), F.collect_list("bucket").alias("buckets")
     )
-    links = links.unionByName(_verified(untested(between), texts))
-    linked = links.where(F.col("similarity") >= SIMILARITY).select("a", "b")
+    members = scratch.keep(met)
+    buckets = members.select("key", "n", "met", F.explode("buckets").alias("bucket"))
+    # The texts of all candidates, once.
+    some = may_be_among(keyed, F.xxhash64("key"), members.select(F.xxhash64("key").alias("h")), "maybe")
+    some = once_a_task(some.where("maybe").select("key", "text"), "key")
+    texts = some.join(members.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    texts = scratch.keep(texts)
+
+    first = buckets.groupBy("bucket").agg(F.max(F.struct("met", "key", "n")).alias("pivot"))
+    with_pivot = buckets.join(first, "bucket").withColumn("m", F.col("pivot.n"))
+    with_pivot = with_pivot.where((F.col("key") != F.col("pivot.key")) & _near("n", "m"))
+    pairs = with_pivot.select(F.col("key").alias("a"), F.col("pivot.key").alias("b")).distinct()
+    tested = [scratch.keep(_verified(pairs, texts))]
+    odd = signed.select("key", "odd")
+
+    def all_tested() -> DataFrame:
+        links = tested[0]
+        for more in tested[1:]:
+            links = links.unionByName(more)
+        return links
+
+    for nearest in (True, False):
+        labelled = scratch.keep(_labelled(members, all_tested()))
+        rows = labelled.select("key", "n", "met", "class", F.explode("buckets").alias("bucket"))
+        apart = _apart(rows, odd)
+        if nearest:
+            pairs = apart.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
+        else:
+            pairs = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.join(_both_ways(all_tested()), ["a", "b"], "left_anti")
+        tested.append(scratch.keep(_verified(pairs, texts)))
+        scratch.drop(labelled)
+    linked = written(all_tested().where(F.col("similarity") >= SIMILARITY).select("a", "b"))
+    scratch.clear()
     return components(linked).select(F.col("node").alias("key"), "root")
 
 

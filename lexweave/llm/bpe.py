@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -36,7 +37,10 @@ RUNS = (regex.compile(r"\p{L}*"), regex.compile(r"\p{N}*"), regex.compile(r"[^\s
 #: A space that does not start a piece. Python's own class holds all white space of the pattern.
 LOOSE = re.compile(r" (?=\s|$)")
 START = re.compile(r" (?=\S)")
-MEMO = 1 << 18
+#: Memory of a :class:`Memo`, and the longest piece it keeps.
+MEMO_BYTES, MEMO_CHARS = 40 << 20, 64
+#: Characters of texts that a task works on before it hands on what it has.
+SLICE_CHARS = 1 << 20
 EMPTY, NONE = np.uint64(2**64 - 1), np.int32(2**31 - 1)
 
 
@@ -204,20 +208,28 @@ def packed(ids: list[int]) -> bytes:
 
 
 class Memo(dict):
-    """Token ids by word, learnt many at a time; emptied when full, so that its memory is bounded."""
+    """Token ids by word, learnt many at a time; long pieces are made anew each time.
+
+    Emptied when the bytes of its words, ids and entries reach ``MEMO_BYTES``.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.size = make, 0
 
     def of(self, words: list[str]) -> bytes:
         """The ids of ``words`` in their order."""
         new = [w for w in {*words} if w not in self]
         if new:
-            if len(self) + len(new) > MEMO:
+            if any(len(w) > MEMO_CHARS for w in new):
+                return b"".join([self.make([w])[0] if len(w) > MEMO_CHARS else self.of([w]) for w in words])
+            if self.size > MEMO_BYTES:
                 self.clear()
-                new = list({*words})
-            self.update(zip(new, self.make(new)))
+                self.size, new = 0, list({*words})
+            made = self.make(new)
+            self.update(zip(new, made))
+            # An entry, a string and a byte string take about 200 bytes besides their content.
+            self.size += sum(map(len, made)) + 2 * sum(map(len, new)) + 200 * len(new)
         return b"".join(map(self.__getitem__, words))
 
 
@@ -292,8 +304,10 @@ class Encoder:
     def _spaced(self, words: list[str]) -> list[bytes]:
         """The ids of words that each follow a space, cut in one go: a piece starts at each space."""
         cut = PATTERN.findall(" " + " ".join(words))
-        self.word.of(cut)
         starts = [i for i, piece in enumerate(cut) if piece[0] == " "]
+        if any(len(w) >= MEMO_CHARS for w in words):
+            return [self.word.of(cut[a:b]) for a, b in zip(starts, [*starts[1:], len(cut)])]
+        self.word.of(cut)
         known = self.word
         if len(starts) == len(cut):
             return [known[w] for w in cut]
@@ -363,6 +377,11 @@ class Decoder:
         self.state.reset()
         return rest
 
+    def whole(self, ids: np.ndarray, portion: int = 1 << 16) -> str:
+        """The text of all of a row's ids, read in portions."""
+        parts = [self.feed(ids[at : at + portion].tolist()) for at in range(0, len(ids), portion)]
+        return "".join([*parts, self.finish()])
+
 
 _LOADED: dict[str, Vocabulary] = {}
 
@@ -385,17 +404,16 @@ def _with(batch: pa.RecordBatch, name: str, array: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, array], [*batch.schema.names, name])
 
 
-def _group(texts: list[str | None], start: int, chars: int) -> tuple[int, list[str]]:
-    """The texts from ``start`` on that together have up to ``chars`` characters; a longer one is
-    left to be read in its own windows."""
-    end, group, total = start, [], 0
-    while end < len(texts) and (end == start or total < chars):
-        text = texts[end] or ""
-        if len(text) <= chars:
-            group.append(text)
-            total += len(text)
-        end += 1
-    return end, group
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of one row, or of more rows with ``SLICE_CHARS`` bytes of text at most."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype("i8"))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + SLICE_CHARS, "right")))
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def _shared(df: DataFrame, path: str):
@@ -404,33 +422,41 @@ def _shared(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(file.read())
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the token ids of ``text`` under the vocabulary file ``path``."""
+def encode(
+    df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None
+) -> DataFrame:
+    """Add the token ids of ``text`` under the vocabulary file ``path``, and, where ``decoded`` names a
+    column, the text that comes back from these ids, in the same pass."""
     data = _shared(df, path)
-    source = df if text.lower() != ids.lower() else df.withColumnRenamed(text, text + "_")
+    replaced = {c.lower() for c in (ids, decoded) if c}
+    source = df if text.lower() not in replaced else df.withColumnRenamed(text, text + "_")
     column = text if source is df else text + "_"
     kept, schema = _extended(source, ids, T.ArrayType(T.IntegerType()))
+    if decoded:
+        kept = kept.drop(*[c for c in kept.columns if c.lower() == decoded.lower()])
+        fields = [f for f in schema.fields if f.name.lower() != decoded.lower()]
+        schema = T.StructType([*fields, T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(loaded(data.value))
+        vocabulary = loaded(data.value)
+        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
         for batch in batches:
-            found, offsets = [], np.zeros(batch.num_rows + 1, "i4")
-            texts, ahead = batch.column(column).to_pylist(), 0
-            for i, value in enumerate(texts):
-                whole, size = value or "", 0
-                if i == ahead:
-                    ahead, group = _group(texts, i, encoder.window << 4)
-                    encoder.learn(group)
-                for at in range(0, len(whole), encoder.window):
-                    for out in encoder.feed(whole[at : at + encoder.window]):
-                        found.append(out)
-                        size += len(out)
-                for out in encoder.finish():
-                    found.append(out)
-                    size += len(out)
-                offsets[i + 1] = offsets[i] + size // 4
-            flat = pa.array(np.frombuffer(b"".join(found), "<i4"))
-            yield _with(batch, ids, pa.ListArray.from_arrays(pa.array(offsets), flat))
+            for part in _slices(batch, column):
+                texts = [t or "" for t in part.column(column).to_pylist()]
+                encoder.learn([t for t in texts if len(t) <= encoder.window])
+                found, offsets, back = [], np.zeros(len(texts) + 1, "i4"), []
+                for i, whole in enumerate(texts):
+                    own = []
+                    for at in range(0, len(whole), encoder.window):
+                        own += encoder.feed(whole[at : at + encoder.window])
+                    own += encoder.finish()
+                    found.append(b"".join(own))
+                    offsets[i + 1] = offsets[i] + len(found[-1]) // 4
+                    if decoded:
+                        back.append(decoder.whole(np.frombuffer(found[-1], "<i4")))
+                flat = pa.array(np.frombuffer(b"".join(found), "<i4"))
+                out = _with(part, ids, pa.ListArray.from_arrays(pa.array(offsets), flat))
+                yield _with(out, decoded, pa.array(back, pa.string())) if decoded else out
 
     return kept.mapInArrow(run, schema)
 
@@ -441,17 +467,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     kept, schema = _extended(df, text, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = loaded(data.value)
-        decoder, portion = Decoder(vocabulary), 1 << 16
+        decoder = Decoder(loaded(data.value))
         for batch in batches:
             texts = []
             for value in batch.column(ids):
-                row = value.values.to_numpy(zero_copy_only=False) if value.is_valid else ()
-                parts = [
-                    decoder.feed(row[at : at + portion].tolist())
-                    for at in range(0, len(row), portion)
-                ]
-                texts.append("".join([*parts, decoder.finish()]))
+                row = value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.empty(0, "i4")
+                texts.append(decoder.whole(row))
             yield _with(batch, text, pa.array(texts, pa.string()))
 
     return kept.mapInArrow(run, schema)

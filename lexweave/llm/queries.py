@@ -40,8 +40,7 @@ def query(name: str, sql: str | None = None):
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encode and decode every document; the digests tell of every id and character."""
     documents = read(spark, folder, "documents", "doc_id", "text")
-    ids = bpe.encode(documents, VOCABULARY).drop("text")
-    back = bpe.decode(ids, VOCABULARY)
+    back = bpe.encode(documents, VOCABULARY, decoded="decoded")
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

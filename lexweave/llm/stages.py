@@ -37,4 +37,4 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text with its token ids, and the text decoded from them."""
-    return bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
+    return bpe.encode(docs, VOCABULARY, decoded="decoded")

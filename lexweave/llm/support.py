@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,58 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one computation in the shared folder, removed when they are no longer read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.paths: dict[int, str] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written once; what is read from then on is the written table."""
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = path
+        return table
+
+    def _remove(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables of :meth:`keep`; nothing lazy may still read them."""
+        for table in tables:
+            self._remove(self.paths[id(table)])
+
+    def clear(self) -> None:
+        self._remove(self.folder)
+
+
+#: Keys that a task remembers in :func:`once_a_task`; forgetting costs a row, not a result.
+SEEN = 1 << 17
+
+
+def once_a_task(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` without those whose binary ``key`` the task has had before, as far as it remembers: a
+    cheap first step where rows of one key are alike, so that copies are not shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            fresh_rows = []
+            for at, value in enumerate(batch.column(key).to_pylist()):
+                if value not in seen:
+                    fresh_rows.append(at)
+                    seen.add(value)
+            if len(seen) > SEEN:
+                seen.clear()
+            yield batch.take(pa.array(fresh_rows, pa.int32()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Label every node of the undirected ``edges`` (a, b) with the least node it reaches.
 

@@ -33,13 +33,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import bpe
-from lexweave.llm.support import looked_up, may_be_among, written
+from lexweave.llm.support import looked_up, may_be_among, once_a_task, written
 from lexweave.session import cut_lineage
 
 #: Characters that are handed to a tokenizer at once, and above which a text is streamed.
 GROUP_CHARS, LONG_CHARS = 1 << 19, 1 << 20
-#: Digests that a task remembers so as not to send a text twice; forgetting costs a row, not a result.
-SEEN = 1 << 17
 
 
 class Counter:
@@ -170,24 +168,6 @@ def _encoded(rows: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return rows.select("digest", "text").mapInArrow(run, "digest binary, n_tokens bigint")
 
 
-def _once_a_task(rows: DataFrame) -> DataFrame:
-    """``rows`` without texts that the task has had before, as far as it remembers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            keep = []
-            for at, digest in enumerate(batch.column("digest").to_pylist()):
-                if digest not in seen:
-                    keep.append(at)
-                    seen.add(digest)
-            if len(seen) > SEEN:
-                seen.clear()
-            yield batch.take(pa.array(keep, pa.int32()))
-
-    return rows.select("digest", "text").mapInArrow(run, "digest binary, text string")
-
-
 def token_counts(
     docs: DataFrame, path: str, cache: str, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -206,7 +186,7 @@ def token_counts(
     texts = content_digests(docs, tokenizer, F.col(text))
     flagged = may_be_among(texts, F.xxhash64("digest"), told, "maybe")
     alone = flagged.where("not maybe")
-    others = _once_a_task(flagged.where("maybe")).join(missing.select("digest"), "digest", "left_semi")
+    others = once_a_task(flagged.where("maybe").select("digest", "text"), "digest").join(missing.select("digest"), "digest", "left_semi")
     misses = alone.select("digest", "text").unionByName(others.dropDuplicates(["digest"]))
     added = _encoded(misses, tokenizer)
     added.write.mode("append").parquet(f"{cache}/version={tokenizer.version}")

@@ -11,14 +11,15 @@ log w processes. Points later than every register's are never drawn.
 Texts that agree in a band of five registers are candidates. Equal texts collapse beforehand, so
 work is on distinct texts, named by a digest. Candidates are not paired out. First, a bucket's members
 are compared with its most central text, the one that meets most others over all its buckets - for the
-edited copies of one text that is the text itself. What stays apart from it in a bucket is held
-against the bucket's other members by a bound: a text carries the parity of its runs' hashes in 1024
+edited copies of one text that is the text itself. Then what is in other classes than a bucket's
+central text is held against sixteen members of the bucket and compared with the one it differs least
+from. These steps are in proportion to the members and join nearly all that has many links; after each
+the classes are told exactly. Last, all pairs of a bucket that still lie in different classes are compared,
+unless a bound rules them out: a text carries the parity of its runs' hashes in 2048
 bits, the bits in which two texts differ are at most the runs in which they differ, and a similarity of
-0.8 allows a ninth of all runs. Each such text is compared with the one it differs least from, which links
-most that have a link; then all pairs within the bound that still lie in different classes are compared. A link needs a
-similarity of at least 0.8, and linked texts form classes, so every pair of candidates is either
-compared, ruled out by the bound or in one class already. Members of a large bucket are dealt to several
-tasks, and no table outlives the step that reads it.
+0.8 allows a ninth of all runs. A link needs a similarity of at least 0.8, and linked texts form classes,
+so every pair of candidates is either compared, ruled out by the bound or in one class already. Members of
+a large bucket are dealt to several tasks, and no table outlives the steps that read it.
 
 Cases: null and empty texts are equal to each other and form a class; a text without words is like
 its equals only; repeated rows and null ids are kept apart by content. Other columns pass unchanged.
@@ -41,9 +42,11 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 GROUP_CHARS = 1 << 19
 #: 64-bit words of a text's parity bits.
-PARITY = 16
+PARITY = 32
 #: Members of a bucket that one task holds against all of the bucket.
 SHARE = 2048
+#: Members of a bucket that others are held against in a step, and the number of such steps.
+CHOSEN, STEPS = 16, 1
 
 
 class WordHashes(dict):
@@ -124,8 +127,8 @@ def band_hashes(times: np.ndarray) -> np.ndarray:
 
 
 def parity_bits(runs: np.ndarray) -> np.ndarray:
-    """One bit per value of the runs' top ten bits: whether their number is odd."""
-    odd = np.bincount((runs >> np.uint64(54)).astype(int), minlength=64 * PARITY) & 1
+    """One bit per value of the runs' top eleven bits: whether their number is odd."""
+    odd = np.bincount((runs >> np.uint64(53)).astype(int), minlength=64 * PARITY) & 1
     return np.packbits(odd.astype("u1"), bitorder="little").view("i8")
 
 
@@ -202,22 +205,18 @@ def _both_ways(links: DataFrame) -> DataFrame:
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` with ``class``, the least text within two links: enough to tell most classes apart
-    or together, and texts that it tells apart are merely compared once more."""
-    both = _both_ways(links.where(F.col("similarity") >= SIMILARITY))
-    one = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("near"))
-    far = one.select(F.col("a").alias("near"), F.col("near").alias("far"))
-    two = one.join(far, "near", "left").select(
-        F.col("a").alias("key"), F.coalesce("far", "near").alias("class")
-    )
-    return members.join(two, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    """``members`` with ``class``: the least text that they are linked to in any number of links."""
+    known = components(links.where(F.col("similarity") >= SIMILARITY).select("a", "b"))
+    named = known.select(F.col("node").alias("key"), F.col("root").alias("class"))
+    return members.join(named, "key", "left").withColumn("class", F.coalesce("class", "key"))
 
 
-def _apart(rows: DataFrame, odd: DataFrame) -> DataFrame:
+def _apart(rows: DataFrame, odd: DataFrame, step: int | None = None) -> DataFrame:
     """(a, b, differ): members of a bucket in different classes that the bound does not rule out.
 
-    ``a`` is outside the class of the bucket's central text. A large bucket's ``a`` are dealt to several
-    tasks by their key, each with all ``b``.
+    ``a`` is outside the class of the bucket's central text; ``b`` is any member, or, in a ``step``, one
+    of a few that the step's number and the bucket choose. A large bucket's ``a`` are dealt to several tasks by
+    their key, each with all ``b``.
     """
     ends = rows.groupBy("bucket").agg(
         F.min("class").alias("x"),
@@ -225,25 +224,29 @@ def _apart(rows: DataFrame, odd: DataFrame) -> DataFrame:
         F.max_by("class", F.struct("met", "key")).alias("main"),
         F.ceil(F.count("*") / SHARE).cast("int").alias("shares"),
     )
-    mixed = rows.join(ends.where("x <> y").select("bucket", "main", "shares"), "bucket").join(odd, "key")
+    mixed = rows.join(ends.where("x <> y").select("bucket", "main", "shares"), "bucket")
     left = mixed.where("class <> main").select(
         "bucket",
         F.pmod(F.xxhash64("key"), "shares").cast("int").alias("share"),
         F.col("key").alias("a"),
         F.col("class").alias("own"),
         F.col("n").alias("m"),
-        F.col("odd").alias("odd_a"),
     )
-    right = mixed.select(
+    right = mixed
+    if step is not None:
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64("key", "bucket", F.lit(step)), "key")
+        right = mixed.withColumn("at", F.row_number().over(order)).where(F.col("at") <= CHOSEN)
+    right = right.select(
         "bucket",
         F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
         F.col("key").alias("b"),
         "class",
         "n",
-        "odd",
     )
+    left = left.join(odd.withColumnsRenamed({"key": "a", "odd": "odd_a"}), "a")
+    right = right.join(odd.withColumnsRenamed({"key": "b"}), "b")
     differ = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd")[i])) for i in range(PARITY)), F.lit(0))
-    bound = (9 * differ <= F.col("n") + F.col("m")) & _near("n", "m")
+    bound = _near("n", "m") & (9 * differ <= F.col("n") + F.col("m"))
     joined = left.hint("merge").join(right, ["bucket", "share"]).where((F.col("own") != F.col("class")) & bound)
     return joined.select("a", "b", differ.alias("differ"))
 
@@ -287,14 +290,14 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             links = links.unionByName(more)
         return links
 
-    for nearest in (True, False):
+    for step in [*range(STEPS), None]:
         labelled = scratch.keep(_labelled(members, all_tested()))
         rows = labelled.select("key", "n", "met", "class", F.explode("buckets").alias("bucket"))
-        apart = _apart(rows, odd)
-        if nearest:
-            pairs = apart.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
-        else:
+        apart = _apart(rows, odd, step)
+        if step is None:
             pairs = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            pairs = apart.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
         pairs = pairs.join(_both_ways(all_tested()), ["a", "b"], "left_anti")
         tested.append(scratch.keep(_verified(pairs, texts)))
         scratch.drop(labelled)

@@ -11,10 +11,9 @@ log w processes. Points later than every register's are never drawn.
 Texts that agree in a band of five registers are candidates. Equal texts collapse beforehand, so
 work is on distinct texts, named by a digest. Candidates are not paired out. First, a bucket's members
 are compared with its most central text, the one that meets most others over all its buckets - for the
-edited copies of one text that is the text itself. Then what is in other classes than a bucket's
-central text is held against sixteen members of the bucket and compared with the one it differs least
-from. These steps are in proportion to the members and join nearly all that has many links; after each
-the classes are told exactly. Last, all pairs of a bucket that still lie in different classes are compared,
+edited copies of one text that is the text itself. These links, in proportion to the members, join nearly
+all that has many of them, and the classes they make are told exactly. Then all pairs of a bucket that still lie
+in different classes are compared,
 unless a bound rules them out: a text carries the parity of its runs' hashes in 2048
 bits, the bits in which two texts differ are at most the runs in which they differ, and a similarity of
 0.8 allows a ninth of all runs. A link needs a similarity of at least 0.8, and linked texts form classes,
@@ -45,8 +44,6 @@ GROUP_CHARS = 1 << 19
 PARITY = 32
 #: Members of a bucket that one task holds against all of the bucket.
 SHARE = 2048
-#: Members of a bucket that others are held against in a step, and the number of such steps.
-CHOSEN, STEPS = 16, 1
 
 
 class WordHashes(dict):
@@ -211,11 +208,10 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(named, "key", "left").withColumn("class", F.coalesce("class", "key"))
 
 
-def _apart(rows: DataFrame, odd: DataFrame, step: int | None = None) -> DataFrame:
-    """(a, b, differ): members of a bucket in different classes that the bound does not rule out.
+def _apart(rows: DataFrame, odd: DataFrame) -> DataFrame:
+    """(a, b): members of a bucket in different classes that the bound does not rule out.
 
-    ``a`` is outside the class of the bucket's central text; ``b`` is any member, or, in a ``step``, one
-    of a few that the step's number and the bucket choose. A large bucket's ``a`` are dealt to several tasks by
+    ``a`` is outside the class of the bucket's central text. A large bucket's ``a`` are dealt to several tasks by
     their key, each with all ``b``.
     """
     ends = rows.groupBy("bucket").agg(
@@ -232,11 +228,7 @@ def _apart(rows: DataFrame, odd: DataFrame, step: int | None = None) -> DataFram
         F.col("class").alias("own"),
         F.col("n").alias("m"),
     )
-    right = mixed
-    if step is not None:
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("key", "bucket", F.lit(step)), "key")
-        right = mixed.withColumn("at", F.row_number().over(order)).where(F.col("at") <= CHOSEN)
-    right = right.select(
+    right = mixed.select(
         "bucket",
         F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
         F.col("key").alias("b"),
@@ -248,7 +240,7 @@ def _apart(rows: DataFrame, odd: DataFrame, step: int | None = None) -> DataFram
     differ = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd")[i])) for i in range(PARITY)), F.lit(0))
     bound = _near("n", "m") & (9 * differ <= F.col("n") + F.col("m"))
     joined = left.hint("merge").join(right, ["bucket", "share"]).where((F.col("own") != F.col("class")) & bound)
-    return joined.select("a", "b", differ.alias("differ"))
+    return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _near(n: str, m: str):
@@ -281,27 +273,12 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     with_pivot = buckets.join(first, "bucket").withColumn("m", F.col("pivot.n"))
     with_pivot = with_pivot.where((F.col("key") != F.col("pivot.key")) & _near("n", "m"))
     pairs = with_pivot.select(F.col("key").alias("a"), F.col("pivot.key").alias("b")).distinct()
-    tested = [scratch.keep(_verified(pairs, texts))]
-    odd = signed.select("key", "odd")
-
-    def all_tested() -> DataFrame:
-        links = tested[0]
-        for more in tested[1:]:
-            links = links.unionByName(more)
-        return links
-
-    for step in [*range(STEPS), None]:
-        labelled = scratch.keep(_labelled(members, all_tested()))
-        rows = labelled.select("key", "n", "met", "class", F.explode("buckets").alias("bucket"))
-        apart = _apart(rows, odd, step)
-        if step is None:
-            pairs = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            pairs = apart.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
-        pairs = pairs.join(_both_ways(all_tested()), ["a", "b"], "left_anti")
-        tested.append(scratch.keep(_verified(pairs, texts)))
-        scratch.drop(labelled)
-    linked = written(all_tested().where(F.col("similarity") >= SIMILARITY).select("a", "b"))
+    central = scratch.keep(_verified(pairs, texts))
+    labelled = scratch.keep(_labelled(members, central))
+    rows = labelled.select("key", "n", "met", "class", F.explode("buckets").alias("bucket"))
+    pairs = _apart(rows, signed.select("key", "odd")).join(_both_ways(central), ["a", "b"], "left_anti")
+    links = central.unionByName(_verified(pairs, texts))
+    linked = written(links.where(F.col("similarity") >= SIMILARITY).select("a", "b"))
     scratch.clear()
     return components(linked).select(F.col("node").alias("key"), "root")
 

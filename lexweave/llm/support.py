@@ -89,15 +89,25 @@ def once_a_task(rows: DataFrame, key: str) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+#: Edges that a task of :func:`components` reads.
+EDGES = 100_000
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Label every node of the undirected ``edges`` (a, b) with the least node it reaches.
 
     Returns (node, root). Alternating star contractions: every node first links its larger
     neighbours, then itself and its smaller ones, to the least node it sees; each round is two
     combinable minimum aggregations, so a node with very many links is never gathered in one task.
-    The round's edges are written to the shared folder, which also ends the lineage.
+    The round's edges are written to the shared folder, which also ends the lineage; they are read with a
+    task per ``EDGES`` of them, so what fits one task needs no shuffles.
     """
-    current = cut_lineage(
+
+    def held(df: DataFrame) -> DataFrame:
+        kept = cut_lineage(df)
+        return kept.coalesce(kept.count() // EDGES + 1)
+
+    current = held(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("u <> v")
         .distinct()
@@ -115,7 +125,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         )
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(small, "u")
-        current = cut_lineage(
+        current = held(
             linked.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v")))
             .where("u <> v")

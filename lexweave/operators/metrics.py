@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
+from lexweave.functions.stage import evaluate, let
 from lexweave.operators.ordering import even_slices, exact_quantiles, running_totals
 from lexweave.rules import domains as D
 from lexweave.session import literal_table
@@ -112,29 +113,50 @@ def classification_report(
     )
 
 
+def _told(slots: str) -> Column:
+    """A slot map's distinct pairs as strings, which array functions hash; structs they compare one
+    by one."""
+    nested = F.transform(
+        F.map_entries(slots),
+        lambda e: F.transform(
+            e["value"],
+            lambda v: F.concat(
+                F.char_length(e["key"]).cast("string"), F.lit(":"), e["key"], T.normalize_surface(v)
+            ),
+        ),
+    )
+    return F.array_distinct(F.flatten(nested))
+
+
+def _pair(told: Column, kind: str) -> Column:
+    size = F.substring_index(told, ":", 1)
+    start = F.length(size) + 2
+    return F.struct(
+        F.lit(kind).alias("kind"),
+        F.substr(told, start, size.cast("int")).alias("slot"),
+        F.substr(told, start + size.cast("int")).alias("value"),
+    )
+
+
 def slots_equal(a: str, b: str) -> Column:
-    x, y = T.slot_pairs(F.col(a)), T.slot_pairs(F.col(b))
-    return (F.size(F.array_except(x, y)) == 0) & (F.size(F.array_except(y, x)) == 0)
+    def same(x: Column, y: Column) -> Column:
+        return (F.size(x) == F.size(y)) & (F.size(F.array_except(x, y)) == 0)
+
+    return let(_told(a), lambda x: let(_told(b), lambda y: same(x, y)))
 
 
 def pair_diff(df: DataFrame, expected: str, predicted: str) -> DataFrame:
     """``(id, kind, slot, value)`` with kind ``tp``, ``fp`` or ``fn``. One narrow pass."""
-    rows = df.select(
-        "id", T.slot_pairs(F.col(expected)).alias("x"), T.slot_pairs(F.col(predicted)).alias("y")
-    )
+    told = {"__want": _told(expected), "__got": _told(predicted)}
+    rows = evaluate(df.select("id", expected, predicted), **told)
 
     def marked(kind: str, pairs: Column) -> Column:
-        return F.transform(
-            pairs,
-            lambda p: F.struct(
-                F.lit(kind).alias("kind"), p["slot"].alias("slot"), p["value"].alias("value")
-            ),
-        )
+        return F.transform(pairs, lambda p: _pair(p, kind))
 
     parts = F.concat(
-        marked("tp", F.array_intersect("x", "y")),
-        marked("fp", F.array_except("y", "x")),
-        marked("fn", F.array_except("x", "y")),
+        marked("tp", F.array_intersect("__want", "__got")),
+        marked("fp", F.array_except("__got", "__want")),
+        marked("fn", F.array_except("__want", "__got")),
     )
     return rows.select("id", F.inline(parts))
 

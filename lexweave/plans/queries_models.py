@@ -136,14 +136,15 @@ def _conversation_slots(spark, d):
     x = read_table(spark, d, "conversations", "conv_id", "turn", "text")
     intents = F.array(*[F.lit(i) for i in C.R.ACTION_TYPES])
     w = F.split(T.normalize_surface(F.col("text")), " ", -1)
-    first, second = F.get(w, F.lit(0)), F.get(w, F.lit(1))
+    first = F.get(w, F.lit(0))
+    others = F.when(F.size(w) > 1, F.array_join(F.slice(w, F.lit(2), F.size(w) - 1), " "))
     k = F.col("conv_id") + F.col("turn")
     return x.select(
         "conv_id",
         "turn",
         F.get(intents, (k % 5).cast("int")).alias("intent"),
         first.alias("a"),
-        F.when(k % 2 == 0, second).alias("b"),
+        F.when(k % 2 == 0, others).alias("b"),
     )
 
 
@@ -153,7 +154,7 @@ def _conversation_slots(spark, d):
         ['set_reminder','set_alarm','ask_weather','play_music','call_contact'][
           ((conv_id + turn) % 5 + 1)::INT] AS intent, (conv_id + turn) % 2 = 0 AS even
       FROM conversations),
-    s AS (SELECT conv_id, turn, intent, w[1] AS a, CASE WHEN even THEN w[2] END AS b FROM w)
+    s AS (SELECT conv_id, turn, intent, w[1] AS a, CASE WHEN even AND len(w) > 1 THEN array_to_string(w[2:], ' ') END AS b FROM w)
     SELECT conv_id, turn, CASE intent
       WHEN 'set_reminder' THEN 'Đã giả lập tạo lời nhắc “' || a || '”' || coalesce(' vào ' || b, '') || '.'
       WHEN 'set_alarm' THEN 'Đã giả lập đặt báo thức vào ' || a || '.'

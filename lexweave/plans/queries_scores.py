@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
+from lexweave.functions.stage import evaluate
 from lexweave.operators import gates as G
 from lexweave.operators import metrics as M
 from lexweave.plans.queries_text import SQL_GATED, SQL_RULE_CLASSIFY, gated, rule_classified
@@ -122,17 +123,18 @@ def q_class_report(spark, d):
 
 
 def slotted(spark, d):
-    """Opening words as expected and predicted slots that agree on part of the rows."""
+    """A text's first word and all its other words as expected and predicted slots that agree on part of
+    the rows."""
     x = documents(spark, d, "doc_id", "text", "lang", "source")
     w = F.split(T.normalize_surface(F.col("text")), " ", -1)
-    words = x.withColumn("w", F.array_distinct(F.slice(w, 1, 3)))
+    words = evaluate(x, w=F.array_distinct(w))
 
     def slots(first, rest):
         return F.map_from_arrays(F.array(F.lit("head"), F.lit("tail")), F.array(first, rest))
 
     none = F.array().cast("array<string>")
     even = F.col("doc_id") % 2 == 0
-    tail = F.slice("w", 2, 2)
+    tail = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
     return words.select(
         F.col("doc_id").alias("id"),
         "lang",
@@ -146,9 +148,9 @@ def slotted(spark, d):
 
 
 SQL_SLOTTED = f"""ws AS (SELECT doc_id AS id, lang, source,
-        string_split({sql_surface('text')}, ' ')[1:3] AS w3 FROM documents),
-    sl AS (SELECT id, lang, source, w3[1] AS h,
-      list_distinct(list_filter([w3[2], w3[3]], lambda q: q IS NOT NULL AND q <> w3[1])) AS t FROM ws),
+        string_split({sql_surface('text')}, ' ') AS w FROM documents),
+    sl AS (SELECT id, lang, source, w[1] AS h,
+      list_distinct(list_filter(w[2:], lambda q: q <> w[1])) AS t FROM ws),
     ex AS (SELECT id, 'head' AS slot, h AS value FROM sl
       UNION ALL SELECT id, 'tail', unnest(t) FROM sl),
     gt AS (SELECT id, 'head' AS slot, CASE WHEN id % 5 = 0 THEN 'x' ELSE h END AS value FROM sl

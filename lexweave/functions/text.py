@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexweave.functions.compose import COMPATIBLE
-from lexweave.functions.stage import literal
+from lexweave.functions.stage import let, literal
 
 # Letters, digits and underscore. Java's ``\w`` differs on marks and numerals, so say it outright.
 WORD = r"\p{L}\p{N}_"
@@ -130,9 +130,17 @@ def collapse(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
+def _folded(x: Column) -> Column:
+    """``casefold(compatible(x))``; a text without rare letters, by one test, takes the short way."""
+    source, target, _ = _casefold_tables()
+    plain = F.replace(F.translate(F.lower(x), source, target), F.lit("ß"), F.lit("ss"))
+    rare = x.rlike(f"{COMPATIBLE}|{_WIDE_FOLDS}")
+    return F.when(rare, let(compatible(x), casefold)).otherwise(plain)
+
+
 def normalize_surface(x: Column) -> Column:
     """Compatibility form, case folded, white space squeezed; punctuation stays."""
-    return collapse(casefold(compatible(x)))
+    return collapse(_folded(x))
 
 
 def normalize_text(x: Column) -> Column:
@@ -145,7 +153,7 @@ def _drop_punctuation(x: Column) -> Column:
 
 
 def canonical_text(x: Column) -> Column:
-    return _drop_punctuation(casefold(compatible(x)))
+    return _drop_punctuation(_folded(x))
 
 
 def strip_diacritics(x: Column) -> Column:

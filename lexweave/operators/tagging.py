@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.functions.markup import spoken_phone
 from lexweave.functions.stage import evaluate
-from lexweave.operators.lexicon import InlineLexicon
+from lexweave.operators.lexicon import (
+    InlineLexicon,
+    lexicon_hits,
+    longest_match,
+    union_distinct_lexicon,
+)
 from lexweave.rules import tagging as R
+from lexweave.session import literal_table
 
 DEFAULT_ENTRIES = {
     "contact_name": R.CONTACTS,
@@ -37,10 +43,50 @@ class Dictionaries:
             for slot, values in configured.items()
         }
 
+    def attach(self, df: DataFrame) -> DataFrame:
+        return df
+
     def best(self, slot: str, text: Column, folded: Column) -> Column:
         return self.lexicons[slot].best(text, folded)
 
 
+class TableDictionaries:
+    """Entries of any number as a table ``(slot, value, ord)``, found by joins before the rules run.
+
+    Each distinct text meets the lexicon once; what the rules need of it, the best entry of each slot, comes
+    back as one small map per text. Slots without entries in the table have none.
+    """
+
+    def __init__(self, lexicon: DataFrame):
+        self.lexicon = lexicon
+
+    @classmethod
+    def of(
+        cls,
+        spark: SparkSession,
+        configured: Mapping[str, Sequence[str]] = DEFAULT_ENTRIES,
+        learned: DataFrame | None = None,
+    ) -> TableDictionaries:
+        """Configured entries followed by learned ones, a table ``(slot, value)``."""
+        rows = [(slot, i, v) for slot, values in configured.items() for i, v in enumerate(values)]
+        own = literal_table(spark, rows, "slot string, position int, value string")
+        if learned is None:
+            learned = own.select("slot", "value").limit(0)
+        return cls(union_distinct_lexicon(own, learned))
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        keyed = df.withColumn("__text_key", F.md5("__t"))
+        texts = keyed.select("__text_key", "__t").dropDuplicates(["__text_key"])
+        found = longest_match(lexicon_hits(texts, self.lexicon, "__t", "__text_key"))
+        known = found.groupBy(F.col("id").alias("__text_key")).agg(
+            F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("__known")
+        )
+        return keyed.join(known, "__text_key", "left").drop("__text_key")
+
+    def best(self, slot: str, text: Column, folded: Column) -> Column:
+        return F.col("__known")[slot]
+
+
 def clean_entity(x: Column) -> Column:
     """Strip conversational endings and edge punctuation; nothing left is null."""
     cut = F.regexp_replace(F.trim(x), T.java(R.ENTITY_END), "")
@@ -145,12 +191,17 @@ def tag_reminder(
 
 
 def tag_columns(
-    df: DataFrame, text: str = "normalized_text", dictionaries: Dictionaries | None = None
+    df: DataFrame,
+    text: str = "normalized_text",
+    dictionaries: Dictionaries | TableDictionaries | None = None,
 ) -> DataFrame:
-    """Add ``tag_<slot>`` columns with every slot's candidate. Which count depends on intent."""
+    """Add ``tag_<slot>`` columns with every slot's candidate. Which count depends on intent.
+
+    Configured entries travel inside the expressions; a lexicon of any size is a table that is joined.
+    """
     d = dictionaries or Dictionaries()
     out = evaluate(df, __t=T.normalize_surface(F.col(text)))
-    out = evaluate(out, __f=T.strip_diacritics(F.col("__t")))
+    out = evaluate(d.attach(out), __f=T.strip_diacritics(F.col("__t")))
     t, f = F.col("__t"), F.col("__f")
     out = evaluate(out, tag_datetime=tag_datetime(t, f, d), tag_phone_number=tag_phone(t))
     return evaluate(
@@ -160,7 +211,7 @@ def tag_columns(
         tag_artist=tag_artist(t, f, d),
         tag_contact_name=F.when(F.col("tag_phone_number").isNull(), tag_contact(t, f, d)),
         tag_reminder_text=tag_reminder(t, f, F.col("tag_datetime"), d),
-    ).drop("__t", "__f")
+    ).drop("__t", "__f", "__known")
 
 
 # Slots in the order they are reported.
@@ -205,7 +256,7 @@ def extract_by_intent(
     df: DataFrame,
     intent: str = "intent",
     text: str = "normalized_text",
-    dictionaries: Dictionaries | None = None,
+    dictionaries: Dictionaries | TableDictionaries | None = None,
     output: str = "slots",
 ) -> DataFrame:
     """Tag rows and keep the slots their intent allows."""
@@ -215,7 +266,7 @@ def extract_by_intent(
 
 def oracle_and_runtime(
     df: DataFrame, gold: str = "intent", predicted: str = "predicted", text: str = "normalized_text",
-    dictionaries: Dictionaries | None = None,
+    dictionaries: Dictionaries | TableDictionaries | None = None,
 ) -> DataFrame:
     """Slots under the gold intent and under the predicted one, from a single tagging pass."""
     tagged = tag_columns(df, text, dictionaries)

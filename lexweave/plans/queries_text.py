@@ -31,6 +31,7 @@ from lexweave.plans.registry import (
     sql_ws,
     split_of,
 )
+from lexweave.session import cut_lineage
 from lexweave.sources.sinks import content_checksum
 from lexweave.sources.tables import read_table
 
@@ -478,24 +479,30 @@ def _entries(spark, d):
 
 
 _SQL_WORD, _SQL_PIECE = r"[\p{L}\p{N}_]", r"[\p{L}\p{N}_]+|[\s\p{Z}]+|[^\p{L}\p{N}_\s\p{Z}]"
-_SQL_GRAMS = rf"""
+
+
+def _sql_grams(key: str, table: str) -> str:
+    return rf"""
     e AS (SELECT slot, value, {sql_plain('value')} AS gram,
             ('0x' || substr(sha256(value), 1, 12))::BIGINT AS ord,
             len(regexp_extract_all(value, '{_SQL_PIECE}')) AS n FROM learned),
-    t AS (SELECT doc_id, regexp_extract_all({sql_surface('text')}, '{_SQL_PIECE}') AS p
-          FROM documents),
-    r AS (SELECT doc_id, array_to_string(p[i : i + n - 1], '') AS surface,
+    t AS (SELECT {key} AS id, regexp_extract_all({sql_surface('text')}, '{_SQL_PIECE}') AS p
+          FROM {table}),
+    r AS (SELECT id, array_to_string(p[i : i + n - 1], '') AS surface,
             coalesce(p[i - 1], '') AS before, coalesce(p[i + n], '') AS after
           FROM t, (SELECT DISTINCT n FROM e), unnest(range(1, (len(p) - n + 2)::BIGINT)) u(i)),
-    g AS (SELECT DISTINCT doc_id, surface FROM r
+    g AS (SELECT DISTINCT id, surface FROM r
           WHERE NOT (regexp_matches(before, '^{_SQL_WORD}') AND NOT regexp_matches(surface, '^{_SQL_WORD}'))
             AND NOT (regexp_matches(after, '^{_SQL_WORD}') AND NOT regexp_matches(surface, '{_SQL_WORD}$'))),
-    h AS (SELECT doc_id AS id, slot, value, ord, bool_or(surface = value) AS exact,
+    h AS (SELECT id, slot, value, ord, bool_or(surface = value) AS exact,
             any_value(length(gram)) AS n_chars
-          FROM (SELECT doc_id, surface, {sql_plain('surface')} AS gram FROM g) JOIN e USING (gram)
+          FROM (SELECT id, surface, {sql_plain('surface')} AS gram FROM g) JOIN e USING (gram)
           GROUP BY ALL)"""
 
 
+_SQL_GRAMS = _sql_grams("doc_id", "documents")
+
+
 @query(
     "q_lexicon_match",
     f"WITH {SQL_LEARNED}, {_SQL_GRAMS} SELECT id, slot, value, exact, n_chars FROM h",
@@ -535,6 +542,33 @@ def q_union_lexicon(spark, d):
     return out.withColumn("ord", F.col("ord").cast("bigint"))
 
 
+#: The slot that each language's learned pairs count as.
+_LEARNED_SLOTS = {"en": "song", "fr": "artist", "de": "location", "es": "reminder_text"}
+_SQL_SLOT_OF = " ".join(f"WHEN '{lang}' THEN '{slot}'" for lang, slot in _LEARNED_SLOTS.items())
+
+
+@query(
+    "q_tag_table",
+    f"""WITH {SQL_LEARNED}, {_sql_grams("conv_id || ':' || turn", "conversations")}
+    SELECT id, CASE slot {_SQL_SLOT_OF} END AS slot, value FROM h WHERE slot IN ('en', 'fr', 'de', 'es')
+    QUALIFY row_number() OVER (PARTITION BY id, slot ORDER BY n_chars DESC, exact DESC, ord) = 1""",
+)
+def q_tag_table(spark, d):
+    """Tags of every conversation turn that come from a lexicon table, by the complete tagging."""
+    slot_of = F.create_map(*[F.lit(x) for pair in _LEARNED_SLOTS.items() for x in pair])
+    # Equal lengths leave the choice to the order, which is ascending here and in the lexicon.
+    entries = _entries(spark, d).withColumn("slot", slot_of[F.col("slot")])
+    entries = cut_lineage(entries.where("slot is not null"))
+    turns = read_table(spark, d, "conversations", "conv_id", "turn", "text").select(
+        F.concat_ws(":", "conv_id", "turn").alias("id"), "text"
+    )
+    tagged = E.tag_columns(turns, "text", E.TableDictionaries(entries))
+    slots = [*_LEARNED_SLOTS.values()]
+    pairs = F.array(*[F.struct(F.lit(s).alias("slot"), F.col(f"tag_{s}").alias("value")) for s in slots])
+    found = tagged.select("id", F.inline(pairs)).where("value is not null")
+    return found.join(entries.select("slot", "value"), ["slot", "value"], "left_semi").select("id", "slot", "value")
+
+
 @query("q_tag_phone")
 def q_tag_phone(spark, d):
     x = documents(spark, d, "doc_id", "text").withColumn("t", T.normalize_surface(F.col("text")))

@@ -73,11 +73,54 @@ def test_table_join_and_inline_choice_agree(spark):
     assert narrow.count() == 10
 
 
-def test_ngram_positions(spark):
-    df = spark.createDataFrame([("a, b c!",)], "text string")
-    sizes = F.array(F.lit(1), F.lit(3))
-    grams = df.select(L.word_ngrams(F.col("text"), sizes)).first()[0]
-    assert grams == ["a", "b", "c", "b c"]
+def places(spark, text, values):
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    lexicon = spark.createDataFrame([("s", v, i) for i, v in enumerate(values)], "slot string, value string, ord int")
+    return sorted((r["at"], r["value"], r["exact"]) for r in L.lexicon_places(df, lexicon).collect())
+
+
+def test_places_of_entries(spark):
+    values = ["a", "b c", "c!", "!", "b", "á b", ""]
+    assert places(spark, "a, b c! á b", values) == [
+        (0, "a", True), (3, "b", True), (3, "b c", True), (5, "c!", True), (8, "a", False),
+        (8, "á b", True), (10, "b", True),
+    ]
+    assert places(spark, "", values) == [] and places(spark, "a b", []) == []
+
+
+def both_ways(spark, texts, configured, learned):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    rows = [(slot, v) for slot, values in learned.items() for v in values]
+    table = G.TableDictionaries.of(spark, configured, spark.createDataFrame(rows, "slot string, value string"))
+    tags = [f"tag_{s}" for s in (*configured, "phone_number")]
+    out = []
+    for dictionaries in (G.Dictionaries(configured, learned), table):
+        found = G.tag_columns(df, "text", dictionaries).select("id", "text", *tags)
+        out.append(sorted(map(tuple, found.collect())))
+    return out
+
+
+def test_table_and_inline_dictionaries_tag_alike(spark):
+    learned = {"song": ["bài của gió", "gio"], "location": ["bà rịa - vũng tàu"], "datetime": ["giờ tý"]}
+    texts = [t for t, _, _ in CASES] + [
+        "phát bài của gió", "thời tiết ba ria - vung tau giờ tý", "nhắc tôi giờ tý trả sách", "", None,
+        "phát bài của gió", "mở gio của sơn tùng",
+    ]
+    inline, table = both_ways(spark, texts, G.DEFAULT_ENTRIES, learned)
+    assert table == inline and len(table) == len(texts)
+    assert any("bài của gió" in map(str, r[2:]) for r in table)
+
+
+def test_a_hundred_thousand_entries_tag(spark):
+    entries = spark.range(100_000).select(
+        F.lit("location").alias("slot"),
+        F.concat(F.lit("làng số "), F.col("id").cast("string")).alias("value"),
+        F.col("id").cast("int").alias("ord"),
+    )
+    texts = ["thời tiết ở làng số 99999 mai", "lang so 7 và làng số 77", "ở làng số 100000", "gọi mẹ"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = G.tag_columns(df, "text", G.TableDictionaries(entries)).select("text", "tag_location").collect()
+    assert [dict(map(tuple, found))[t] for t in texts] == ["làng số 99999", "làng số 77", "làng số 100000", None]
 
 
 def test_lexicon_mining(spark):

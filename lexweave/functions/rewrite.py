@@ -58,24 +58,25 @@ def rewrite_phrases(text: Column, rules: Mapping[str, str]) -> Column:
     if not rules:
         return _unchanged(text)
     ordered = ordered_rules(rules)
-
-    def step(acc: Column, rule: Column) -> Column:
-        present = F.contains(acc["text"], rule["src"])
-        hits = F.regexp_count(acc["text"], rule["pattern"])
-        return F.struct(
-            F.when(present, F.regexp_replace(acc["text"], rule["pattern"], rule["dst"]))
-            .otherwise(acc["text"])
-            .alias("text"),
-            F.when(present, F.concat(acc["trace"], F.array_repeat(rule["label"], hits)))
-            .otherwise(acc["trace"])
-            .alias("trace"),
-        )
-
-    folded = F.aggregate(_rule_array(ordered), _unchanged(text), step)
+    folded = F.aggregate(_rule_array(ordered), _unchanged(text), rewrite_step)
     touched = text.rlike(any_phrase([s for s, _ in ordered]))
     return F.when(touched, folded).otherwise(_unchanged(text))
 
 
+def rewrite_step(acc: Column, rule: Column) -> Column:
+    """``(text, trace)`` after one more rule, a struct ``(src, pattern, dst, label)``."""
+    present = F.contains(acc["text"], rule["src"])
+    hits = F.regexp_count(acc["text"], rule["pattern"])
+    return F.struct(
+        F.when(present, F.regexp_replace(acc["text"], rule["pattern"], rule["dst"]))
+        .otherwise(acc["text"])
+        .alias("text"),
+        F.when(present, F.concat(acc["trace"], F.array_repeat(rule["label"], hits)))
+        .otherwise(acc["trace"])
+        .alias("trace"),
+    )
+
+
 def protect_term(text: Column) -> Column:
     """Hide the protected sense of an ambiguous word behind a private-use mark."""
     hidden = F.regexp_replace(text, T.java(R.PROTECTED_AFTER), "$1" + _MARK)

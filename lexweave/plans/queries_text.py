@@ -14,6 +14,7 @@ from lexweave.operators import gates as G
 from lexweave.operators import lexicon as L
 from lexweave.operators import lookup as U
 from lexweave.operators import tagging as E
+from lexweave.operators.rewriting import rewrite_by_table
 from lexweave.plans.registry import (
     SQL_SAMPLES,
     documents,
@@ -569,6 +570,42 @@ def q_tag_table(spark, d):
     return found.join(entries.select("slot", "value"), ["slot", "value"], "left_semi").select("id", "slot", "value")
 
 
+def _word_rules(spark, d):
+    """Each first word of a learned German pair becomes the pair's second word, the least of several."""
+    w = F.split("value", " ")
+    pairs = _learned(spark, d).where("slot = 'de'").select(w[0].alias("src"), w[1].alias("dst"))
+    letters = F.col("src").rlike(r"^\p{L}+$") & F.col("dst").rlike(r"^\p{L}+$")
+    return pairs.where(letters & (F.col("src") != F.col("dst"))).groupBy("src").agg(F.min("dst").alias("dst"))
+
+
+@query(
+    "q_rewrite_table",
+    rf"""WITH RECURSIVE {SQL_LEARNED},
+    rules AS (SELECT src, min(dst) AS dst, row_number() OVER (ORDER BY length(src) DESC, src) AS rank
+      FROM (SELECT split_part(value, ' ', 1) AS src, split_part(value, ' ', 2) AS dst FROM learned
+            WHERE slot = 'de')
+      WHERE regexp_full_match(src, '\p{{L}}+') AND regexp_full_match(dst, '\p{{L}}+') AND src <> dst
+      GROUP BY src),
+    t AS (SELECT conv_id, turn, regexp_extract_all({sql_surface('text')}, '{_SQL_PIECE}') AS p
+      FROM conversations),
+    vocabulary AS (SELECT DISTINCT unnest(p) AS word FROM t),
+    c(word, now, rank, n) AS (SELECT word, word, 0, 0 FROM vocabulary
+      UNION ALL SELECT c.word, rules.dst, rules.rank, n + 1 FROM c JOIN rules ON src = now AND rules.rank > c.rank),
+    final AS (SELECT word, arg_max(now, n) AS now, max(n) AS n FROM c GROUP BY word),
+    x AS (SELECT conv_id, turn, p[i] AS word, i FROM t, unnest(range(1, len(p) + 1)) u(i))
+    SELECT t.conv_id, t.turn, coalesce(string_agg(now, '' ORDER BY i), '') AS rewritten,
+      coalesce(sum(n), 0)::BIGINT AS n_rewrites
+    FROM t LEFT JOIN x ON t.conv_id = x.conv_id AND t.turn = x.turn LEFT JOIN final USING (word)
+    GROUP BY t.conv_id, t.turn""",
+)
+def q_rewrite_table(spark, d):
+    """Every conversation turn after a table of rules learned from the documents."""
+    x = read_table(spark, d, "conversations", "conv_id", "turn", "text")
+    x = x.withColumn("text", T.normalize_surface(F.coalesce("text", F.lit(""))))
+    out = rewrite_by_table(x, _word_rules(spark, d))
+    return out.select("conv_id", "turn", "rewritten", F.size("trace").cast("bigint").alias("n_rewrites"))
+
+
 @query("q_tag_phone")
 def q_tag_phone(spark, d):
     x = documents(spark, d, "doc_id", "text").withColumn("t", T.normalize_surface(F.col("text")))

@@ -38,9 +38,9 @@ RUNS = (regex.compile(r"\p{L}*"), regex.compile(r"\p{N}*"), regex.compile(r"[^\s
 LOOSE = re.compile(r" (?=\s|$)")
 START = re.compile(r" (?=\S)")
 #: Memory of a :class:`Memo`, and the longest piece it keeps.
-MEMO_BYTES, MEMO_CHARS = 40 << 20, 64
+MEMO_BYTES, MEMO_CHARS = 80 << 20, 64
 #: Characters of texts that a task works on before it hands on what it has.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 21
 EMPTY, NONE = np.uint64(2**64 - 1), np.int32(2**31 - 1)
 
 

@@ -219,7 +219,10 @@ class Memo(dict):
 
     def of(self, words: list[str]) -> bytes:
         """The ids of ``words`` in their order."""
-        new = [w for w in {*words} if w not in self]
+        try:
+            return b"".join(map(self.__getitem__, words))
+        except KeyError:
+            new = [w for w in {*words} if w not in self]
         if new:
             if any(len(w) > MEMO_CHARS for w in new):
                 return b"".join([self.make([w])[0] if len(w) > MEMO_CHARS else self.of([w]) for w in words])

@@ -3,15 +3,18 @@
 Words are lower-cased, without signs, and without tokens that have only signs. A fixed-size bitmap
 of the items' seeds (8 MB, whatever the benchmark's size) lets tasks skip the seeds that no item
 has; what is left joins the items' seeds exactly. Around the seeds of a text a passage is cut that
-reaches as far to both sides as the longest item. A seed is rare for an item if it occurs in at
-most ten times as many texts as the median one of that item, so a stock phrase inside an item
-makes no candidates, but an item that leaked into a third of all texts still makes all of them.
-Every candidate is aligned: match 1, other word or gap -1. A text is contaminated by an item if
-the best alignment matches at least 0.8 of the item's words.
+reaches as far to both sides as the longest item. Texts are counted by seed before items join. A seed
+is rare for an item if it occurs in at most ten times as many texts as the median one of that item;
+every text with a rare seed of an item is a candidate. A frequent seed, such as a stock phrase inside
+an item, makes a candidate only with one of the item's least frequent words near it: if e of n words
+may fail to match, one of any e + 1 must be there, so no link is lost. Every candidate whose words can
+reach the threshold is aligned: match 1, other word or gap -1. A text is contaminated by an item if the
+best alignment matches at least 0.8 of the item's words.
 
 Cases: null and empty texts and items, and items of fewer than five words, give no candidates.
 Texts are worked on by content, so repeated rows and null ids share their result; an item_id may
-repeat, with several texts, and is then reported with its best one. Ties take the later start.
+repeat, with several texts, and is then reported with its best one. Ties take the later start. Passages
+of any length are aligned in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.llm.bag_minhash import mix
@@ -30,7 +33,9 @@ from lexweave.session import cut_lineage
 
 WORDS, SIMILARITY, COMMON = 5, 0.8, 10
 BITS = 26
-SCORE, MATCH = np.int64(1 << 40), np.int64(1 << 20)
+SCORE, MATCH = 1 << 40, 1 << 20
+#: Words of a passage that are aligned at once, beside twice the item's.
+PIECE = 1 << 18
 
 
 class PlainWords(dict):
@@ -152,36 +157,57 @@ def passages(texts: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
 def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     """Matched words, start and end in ``text`` of the best local alignment.
 
+    An alignment above zero has fewer gaps than matches, so it spans less than twice the item's words
+    and lies whole in one of the pieces, which overlap by as many.
+    """
+    best = (0, 0, 0, 0)
+    for first in range(0, max(1, len(text)), PIECE):
+        score, matched, start, end = _align_piece(text[first : first + PIECE + 2 * len(item)], item)
+        best = max(best, (score, matched, first + start, first + end))
+    return best[1:]
+
+
+def _align_piece(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int]:
+    """Score, matched words, start and end of the best local alignment.
+
     A cell holds score, matches and start in one number, so the three move together through the
-    maxima and only one row is kept.
+    maxima and only one row is kept. Items so long that 64 bits can't hold it use Python's numbers.
     """
-    columns = np.arange(len(text) + 1, dtype="i8")
-    row, slope, best, end = columns.copy(), columns * SCORE, np.int64(0), 0
+    kind = "i8" if len(text) + len(item) < MATCH else object
+    columns = np.arange(len(text) + 1).astype(kind)
+    row, slope, best, end = columns.copy(), columns * SCORE, 0, 0
     for word in item:
-        step = np.where(text == word, SCORE + MATCH, -SCORE)
+        step = np.where(text == word, SCORE + MATCH, -SCORE).astype(kind)
         new = np.maximum(row, columns)
         new[1:] = np.maximum(row[:-1] + step, np.maximum(row[1:] - SCORE, columns[1:]))
         row = np.maximum(np.maximum.accumulate(new + slope) - slope, columns)
         at = int(row.argmax())
         if row[at] > best:
-            best, end = row[at], at
-    return int((best & (SCORE - 1)) // MATCH), int(best & (MATCH - 1)), end
+            best, end = int(row[at]), at
+    return best // SCORE, best % SCORE // MATCH, best % MATCH, end
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = []
+        found, rows = [], []
         columns = ("words", "item_words", "low", "high")
-        for words, item, low, high in zip(*(batch.column(c).to_pylist() for c in columns)):
+        for row, (words, item, low, high) in enumerate(
+            zip(*(batch.column(c).to_pylist() for c in columns))
+        ):
             ids: dict[str, int] = {}
             other = np.array([ids.setdefault(w, len(ids)) for w in item.split(" ")])
             slack = len(other) // 4 + WORDS
             first = max(0, low - slack)
             text = words.split(" ")[first : high + len(other) + slack]
-            text = np.array([ids.get(w, -1) for w in text])
+            text = np.array([ids.get(w, -1) for w in text], "i8")
+            there = np.bincount(text[text >= 0], minlength=len(ids))
+            if np.minimum(there, np.bincount(other)).sum() / len(other) < SIMILARITY:
+                continue
             matched, start, end = align(text, other)
+            rows.append(row)
             found.append((matched / len(other), first + start, end - start))
         share, start, size = zip(*found) if found else ((), (), ())
+        batch = batch.take(pa.array(rows, pa.int32()))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("key"),
@@ -195,31 +221,100 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def words_near(found: DataFrame, hits: DataFrame, span: int) -> DataFrame:
+    """(key, start, seed, place, word): the different words up to ``span`` words from each hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, start, words, own in zip(*(c.to_pylist() for c in batch.columns)):
+                words = words.split(" ")
+                for hit in own:
+                    at = hit["place"]
+                    near = sorted(set(words[max(0, at - span) : at + span]))
+                    n = len(near)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([key] * n, pa.binary()),
+                            pa.array([start] * n, pa.int32()),
+                            pa.array([hit["seed"]] * n, pa.int64()),
+                            pa.array([at] * n, pa.int32()),
+                            pa.array(near, pa.string()),
+                        ],
+                        ["key", "start", "seed", "place", "word"],
+                    )
+
+    own = hits.groupBy("key", "start").agg(F.collect_list(F.struct("seed", "place")).alias("own"))
+    passages_of = found.select("key", "start", "words").join(own, ["key", "start"])
+    return passages_of.mapInArrow(run, "key binary, start int, seed bigint, place int, word string")
+
+
+def frequent_hits(
+    found: DataFrame, hits: DataFrame, frequent: DataFrame, words: DataFrame, span: int
+) -> DataFrame:
+    """(key, start, place, item, at) of frequent seeds that have one of the item's least frequent
+    words near them, as many words as must hold one that matches.
+
+    ``frequent`` has seed, item, n and at; ``words`` has item and item_words.
+    """
+    common = hits.join(frequent.select("seed").distinct(), "seed", "left_semi")
+    near = cut_lineage(words_near(found, common, span))
+    often = near.groupBy("word").agg(F.count("*").alias("times"))
+    own = (
+        frequent.select("item", "n")
+        .distinct()
+        .join(words, "item")
+        .select("item", "n", F.explode(F.split("item_words", " ")).alias("word"))
+        .groupBy("item", "n", "word")
+        .agg(F.count("*").alias("places"))
+        .join(often, "word", "left")
+    )
+    order = Window.partitionBy("item").orderBy(F.coalesce("times", F.lit(0)), "word")
+    earlier = F.sum("places").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # The same rounding as the threshold's: matched / n >= SIMILARITY.
+    may_fail = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9)
+    telling = own.withColumn("earlier", F.coalesce(earlier, F.lit(0))).where(F.col("earlier") <= may_fail)
+    keys = frequent.select("seed", "item").distinct().join(telling.select("item", "word"), "item")
+    return (
+        near.join(keys, ["seed", "word"])
+        .select("key", "start", "place", "seed", "item")
+        .distinct()
+        .join(frequent.select("seed", "item", "at"), ["seed", "item"])
+        .select("key", "start", "place", "item", "at")
+    )
+
+
 def contaminated_texts(texts: DataFrame, items: DataFrame) -> DataFrame:
     """(key, item, similarity, start_word, n_words) of every text and item above the threshold.
 
     ``texts`` has key and text; ``items`` has item, the key of an item's text, and text.
     """
     seeds = cut_lineage(item_seeds(items.distinct()).distinct())
-    reach = seeds.agg(F.max("n")).first()[0] or 0
-    found = cut_lineage(passages(texts, seeds, int(reach)).distinct())
-    hits = (
-        found.select("key", "start", F.explode("hits").alias("hit"))
-        .select("key", "start", "hit.seed", "hit.place")
-        .join(seeds.select("seed", "item", "at").distinct(), "seed")
+    reach = int(seeds.agg(F.max("n")).first()[0] or 0)
+    found = cut_lineage(passages(texts, seeds, reach).distinct())
+    hits = found.select("key", "start", F.explode("hits").alias("hit")).select(
+        "key", "start", "hit.seed", "hit.place"
+    )
+    counted = hits.select("seed", "key").distinct().groupBy("seed").agg(F.count("*").alias("texts"))
+    told = seeds.select("seed", "item", "n", "at").join(counted, "seed")
+    usual = (
+        told.select("seed", "item", "texts")
+        .distinct()
+        .groupBy("item")
+        .agg((F.percentile_approx("texts", 0.5) * COMMON).alias("most"))
+    )
+    told = cut_lineage(told.join(usual, "item"))
+    words = seeds.where("words is not null").select("item", F.col("words").alias("item_words"))
+    rare = hits.join(told.where("texts <= most").select("seed", "item", "at"), "seed")
+    second = frequent_hits(
+        found, hits, told.where("texts > most").drop("texts", "most"), words, 2 * reach + 2 * WORDS
     )
-    often = hits.groupBy("seed", "item", "key").agg(F.lit(1).alias("one")).groupBy(
-        "seed", "item"
-    ).agg(F.count("*").alias("texts"))
-    usual = often.groupBy("item").agg((F.percentile_approx("texts", 0.5) * COMMON).alias("most"))
-    rare = often.join(usual, "item").where("texts <= most").select("seed", "item")
     diagonal = F.col("place") - F.col("at")
     pairs = (
-        hits.join(rare, ["seed", "item"])
+        rare.select("key", "start", "place", "item", "at")
+        .unionByName(second)
         .groupBy("key", "start", "item")
         .agg(F.min(diagonal).alias("low"), F.max(diagonal).alias("high"))
     )
-    words = seeds.where("words is not null").select("item", F.col("words").alias("item_words"))
     ready = pairs.join(words, "item").join(found.select("key", "start", "words"), ["key", "start"])
     aligned = ready.select(
         "key", "item", "start", "low", "high", "words", "item_words"

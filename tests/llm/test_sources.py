@@ -75,6 +75,41 @@ def test_leaks_of_all_kinds(table):
     assert contamination.leaks(docs.where("false"), bench).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [2, 400])
+def test_a_stock_phrase_hides_no_edited_copy(table, crowd):
+    rng = random.Random(6)
+    stock = "which of these answers is the best"
+    items = [f"{stock} {prose(3, rng)}" for _ in range(5)] + [f"{stock} {prose(9, rng)}", f"{stock} {prose(1, rng)}"]
+    texts, want = [], set()
+    for i, item in enumerate(items):
+        words = item.split()
+        leaks = [words[:7] + ["altered"] + words[8:]] + ([words[:8] + words[9:]] if i < 5 else [])
+        for leak in leaks:
+            want.add((len(texts), i))
+            texts.append(f"{prose(30, rng)} {' '.join(leak)} {prose(30, rng)}")
+    texts += [f"{prose(20, rng)} {stock} {prose(20, rng)}" for _ in range(crowd)]
+    texts.append(" ".join(f"{stock} {prose(20, rng)}" for _ in range(30)))
+    # All texts share the phrase with all items, so every pair is told by its cells. The last item is
+    # the phrase and one more word, so the phrase alone is 7/8 of it.
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            if best_local(text.split(), item.split()) >= 0.8 * len(item.split()):
+                want.add((d, i))
+    assert {(d, len(items) - 1) for d in range(len(texts))} <= want
+    found = contamination.leaks(table(documents(texts), DOCS), table(list(enumerate(items)), ITEMS))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
+def test_very_long_passages_are_aligned_in_pieces():
+    rng = np.random.default_rng(7)
+    item = np.arange(10)
+    for at in (5, contamination.PIECE - 4, contamination.PIECE, 1_099_985):
+        text = rng.integers(100, 200, 1_100_000)
+        text[at : at + 10] = item
+        text[at + 3] = 99
+        assert contamination.align(text, item) == (9, at, at + 10)
+
+
 def test_classifier_separates_held_out_documents(table):
     rng = random.Random(8)
     good = [prose(rng.randint(30, 150), rng) + "." for _ in range(500)]

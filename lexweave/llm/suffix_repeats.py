@@ -8,8 +8,8 @@ comparisons and hide no partner. A second bitmap tells which places are worth wr
 the window's hash decides. The windows of a text are merged to spans.
 
 Cases: null, empty and shorter texts have no repeats of their own. Equal texts are one text here
-and, with at least 50 words, repeated as a whole. Words are cut at white space and compared as they
-are. Repeats inside one text are not reported. Repeated rows are copies; ids may be null.
+and, with at least 50 words, repeated as a whole. Words are cut at white space of any
+kind (U+00A0 and U+3000 too) and compared as they are. Repeats inside one text are not reported. Repeated rows are copies; ids may be null.
 """
 
 from __future__ import annotations
@@ -66,6 +66,20 @@ def hashed(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.fromiter(map(hashes.__getitem__, words), "u8", len(words))
 
 
+def long_texts(texts: DataFrame) -> DataFrame:
+    """(key, stop): the words of every text that has at least ``LEAST``, a row for each of its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([len((t or "").split()) for t in batch.column(1).to_pylist()], "i4")
+            at = np.nonzero(sizes >= LEAST)[0]
+            keys = batch.column(0).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(sizes[at])], ["key", "stop"])
+
+    # So many words have at least a sign each and one between any two.
+    return texts.where(F.length("text") >= 2 * LEAST - 1).mapInArrow(run, "key binary, stop int")
+
+
 def run_counts(texts: DataFrame) -> DataFrame:
     """The hashes of runs that are the least of windows of at least two different texts."""
 
@@ -200,12 +214,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document with repeats: doc_id, words in repeated passages, and the passages' word spans."""
     spans = repeated_spans(docs, text)
-    words = F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "))
+    texts = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
     copies = (
-        docs.select(text_key(F.col(text)).alias("key"), words.alias("stop"))
+        long_texts(texts)
         .groupBy("key", "stop")
         .count()
-        .where(f"count > 1 and stop >= {LEAST}")
+        .where("count > 1")
         .select("key", F.lit(0).alias("start"), "stop")
     )
     pair = F.struct("start", "stop")

@@ -109,6 +109,18 @@ def test_spans_are_those_of_all_windows(table, corpus):
     assert suffix_repeats.repeats(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("space", ["\xa0", "\u3000", "\x85", " \n\t "])
+def test_copies_are_found_with_white_space_of_any_kind(table, space):
+    rng = random.Random(12)
+    text = space + space.join(prose(60, rng).split()) + space
+    short = space.join(prose(49, rng).split())
+    df = table([(*r, b"x", 0) for r in documents([text, text, short, short, "a" * 200, "a" * 200])],
+               DOCS + ", key binary, stop int")
+    got = {r.doc_id: r for r in suffix_repeats.repeats(df).collect()}
+    assert sorted(got) == [0, 1] and all(r.repeated_words == 60 for r in got.values())
+    assert [(s.start, s.stop) for s in got[0].spans] == [(0, 60)]
+
+
 def test_recurring_templates_go(table):
     rng = random.Random(9)
     texts = []

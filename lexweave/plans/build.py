@@ -134,6 +134,22 @@ def template_splits(templates: DataFrame, seed: int = 42) -> DataFrame:
     return families.withColumn("r", rank).select("intent", "family", split.alias("split"))
 
 
+def permuted(at: Column, side: Column, *key: Column) -> Column:
+    """A keyed permutation of 0 to ``side`` squared less one, without a table of it.
+
+    ``at`` is two digits of base ``side``; each of four rounds adds a hash of one digit to the other,
+    which can be undone, so different numbers stay different.
+    """
+
+    def whole(n: Column) -> Column:
+        return F.call_function("div", n, side)
+
+    high, low = whole(at), F.pmod(at, side)
+    for step in range(4):
+        high, low = low, F.pmod(high + F.pmod(F.xxhash64(F.lit(step), low, *key), side), side)
+    return high * side + low
+
+
 def template_rows(
     spark: SparkSession,
     templates: DataFrame,
@@ -141,18 +157,36 @@ def template_rows(
     tracks: Sequence[tuple[str, str]],
     targets: Mapping[str, int] = D.TEMPLATE_GROUP_TARGETS,
     seed: int = 42,
-    oversample: int = 30,
 ) -> DataFrame:
     """Fill templates with values: a fixed number of distinct texts per region, intent and split.
 
-    Each draw picks its template and values by hash, so draws are independent and repeatable; song
-    and artist come from one catalogue entry. ``templates`` is ``(region, intent, family, template)``.
+    All fillings of a cell's templates are numbered, and a keyed permutation of the numbers is drawn
+    from its start, so no filling is drawn twice and every one can be. A text that several cells or
+    templates give belongs to its earliest draw; draws go on until every cell has its number. Raises
+    ValueError if a cell's templates can't give so many texts. Song and artist come from one catalogue
+    entry. ``templates`` is ``(region, intent, family, template)``.
     """
-    assigned = templates.join(template_splits(templates, seed), ["intent", "family"])
     cell = ["region", "intent", "split"]
-    position = F.row_number().over(W.partitionBy(*cell).orderBy("family")) - 1
-    size = F.count("*").over(W.partitionBy(*cell))
-    numbered = assigned.withColumns({"position": position, "size": size})
+
+    def uses(*names: str) -> Column:
+        return F.greatest(
+            F.lit(False), *[F.contains("template", F.lit("{" + n + "}")) for n in names]
+        )
+
+    sizes = {slot: len(vs) for slot, vs in values.items() if slot not in ("song", "artist")}
+    ways = {
+        **{slot: F.when(uses(slot), F.lit(n)).otherwise(F.lit(1)) for slot, n in sizes.items()},
+        "track": F.when(uses("song", "artist"), F.lit(len(tracks))).otherwise(F.lit(1)),
+    }
+    size = F.lit(1).cast("long")
+    for n in ways.values():
+        size = size * n
+    before = W.partitionBy(*cell).orderBy("family", "template")
+    numbered = cut_lineage(
+        templates.join(template_splits(templates, seed), ["intent", "family"])
+        .withColumn("size", size)
+        .withColumn("stop", F.sum("size").over(before.rowsBetween(W.unboundedPreceding, 0)))
+    )
 
     wanted = []
     for intent, n in targets.items():
@@ -160,47 +194,72 @@ def template_rows(
         shares = {"train": train, "validation": validation, "test": n - train - validation}
         wanted += [(intent, split, count) for split, count in shares.items()]
     quota = literal_table(spark, wanted, "intent string, split string, target int")
-    draws = (
-        numbered.select(*cell, "size")
-        .distinct()
+    cells = (
+        numbered.groupBy(*cell)
+        .agg(F.max("stop").alias("space"))
         .join(quota, ["intent", "split"])
-        .withColumn("draw", F.explode(F.expr(f"sequence(1, target * {oversample})")))
+        .withColumn("side", F.floor(F.sqrt("space")) + 1)
     )
 
-    def pick(name: str, n: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), *cell, "draw", F.lit(name)), n).cast("int")
-
-    chosen = draws.withColumn("position", pick("template", F.col("size"))).join(
-        numbered.drop("size"), [*cell, "position"]
-    )
-    track = F.get(
-        literal(
-            [{"song": s, "artist": a} for s, a in tracks], "array<struct<song:string,artist:string>>"
-        ),
-        pick("track", F.lit(len(tracks))),
-    )
-    fields = {
-        slot: F.get(literal(list(vs), "array<string>"), pick(slot, F.lit(len(vs))))
-        for slot, vs in values.items()
-    }
-    fields |= {"song": track["song"], "artist": track["artist"]}
-    filled = evaluate(
-        chosen,
-        values=F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)]),
+    def drawn(span: int) -> DataFrame:
+        """The first texts of every cell among its first ``span`` draws."""
+        last = F.least(F.lit(span).cast("long"), F.col("side") * F.col("side")) - 1
+        places = cells.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn(
+            "place", permuted(F.col("draw"), F.col("side"), F.lit(seed), *map(F.col, cell))
+        )
+        chosen = places.join(numbered, cell).where(
+            (F.col("place") < F.col("stop")) & (F.col("place") >= F.col("stop") - F.col("size"))
+        )
+        rest = F.col("place") - F.col("stop") + F.col("size")
+        picks, below = {}, F.lit(1).cast("long")
+        for name, n in ways.items():
+            picks[name] = F.pmod(F.call_function("div", rest, below), n).cast("int")
+            below = below * n
+        track = F.get(
+            literal(
+                [{"song": s, "artist": a} for s, a in tracks],
+                "array<struct<song:string,artist:string>>",
+            ),
+            picks["track"],
+        )
+        fields = {
+            slot: F.get(literal(list(values[slot]), "array<string>"), picks[slot]) for slot in sizes
+        }
+        fields |= {"song": track["song"], "artist": track["artist"]}
+        filled = evaluate(
+            chosen,
+            values=F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)]),
+        )
+        filled = evaluate(
+            filled,
+            text=M.fill_template(F.col("template"), F.col("values")),
+            slots=M.slots_for_template(F.col("intent"), F.col("template"), F.col("values")),
+        ).withColumn("fp", T.text_fingerprint(F.col("text")))
+        unique = first_per_key(filled, ["fp"], [F.col("draw"), *map(F.col, cell)])
+        order = W.partitionBy(*cell).orderBy("draw")
+        return unique.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.col("target"))
+
+    span = 2 * max([count for *_, count in wanted], default=0)
+    while True:
+        kept = cut_lineage(drawn(span))
+        got = kept.groupBy(*cell).agg(F.count("*").alias("got"))
+        short = cells.join(got, cell, "left").where(F.coalesce("got", F.lit(0)) < F.col("target"))
+        told = short.agg(
+            F.count("*").alias("cells"),
+            F.max(F.when(F.col("side") * F.col("side") <= span, F.concat_ws("/", *cell))).alias("spent"),
+        ).first()
+        if told["spent"] is not None:
+            raise ValueError(f"templates of {told['spent']} give fewer texts than asked for")
+        if not told["cells"]:
+            break
+        span *= 2
+    group = F.concat_ws(
+        "_", F.lit("regional"), "region", "intent", "split", F.format_string("%03d", "n")
     )
-    filled = evaluate(
-        filled,
-        text=M.fill_template(F.col("template"), F.col("values")),
-        slots=M.slots_for_template(F.col("intent"), F.col("template"), F.col("values")),
-    ).withColumn("fp", T.text_fingerprint(F.col("text")))
-    unique = first_per_key(filled, ["fp"], [F.col("draw"), *map(F.col, cell)])
-    order = W.partitionBy(*cell).orderBy("draw")
-    kept = unique.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.col("target"))
-    group = F.concat_ws("_", F.lit("regional"), "region", "intent", "split", F.lpad("n", 3, "0"))
     return kept.select(
         group.alias("group_id"), "text", "region", "intent", "slots",
         F.concat_ws(
-            ":", F.lit("template"), "region", "intent", F.lpad(F.col("family").cast("string"), 2, "0")
+            ":", F.lit("template"), "region", "intent", F.format_string("%02d", "family")
         ).alias("source_ref"),
         "split",
     ).transform(augment_no_diacritics)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexweave.functions.compose import compose
@@ -64,14 +65,39 @@ def read_samples(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return compose(typed, "text")
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Lines as (value, file, path, block, at), and blocks as (path, block, first, before).
+
+    A large file is read in several blocks, each from its start by one task, so ``at - first`` counts
+    lines inside a block and ``before`` the lines of all earlier blocks of the file.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = (
+        lines.groupBy("path", "block")
+        .agg(F.min("at").alias("first"), F.count("*").alias("size"))
+        .withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+        .drop("size")
+    )
+    return lines, blocks
+
+
 def bad_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines that are no JSON object of the expected shape, with their file."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
-    schema = _LABELS
-    parsed = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    """Lines that are no JSON object of the expected shape, with their file and line number (from 1;
+    blank lines count)."""
+    lines, blocks = numbered_lines(spark, path)
+    parsed = F.from_json("value", _LABELS, {"columnNameOfCorruptRecord": "_corrupt_record"})
     bad = lines.where(F.trim("value") != "").withColumn("p", parsed)
-    return bad.where(F.col("p").isNull() | F.col("p._corrupt_record").isNotNull()).select(
-        "file", F.col("value").alias("line")
+    bad = bad.where(F.col("p").isNull() | F.col("p._corrupt_record").isNotNull())
+    number = F.col("before") + F.col("at") - F.col("first") + 1
+    return bad.join(blocks, ["path", "block"]).select(
+        "file", number.alias("line_number"), F.col("value").alias("line")
     )
 
 

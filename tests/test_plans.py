@@ -127,6 +127,58 @@ def test_templates_and_build(spark):
     }
 
 
+def test_templates_give_every_filling_once_or_an_error(spark):
+    templates = spark.createDataFrame(
+        [
+            ("north", "call_contact", f, f"mẫu {f} {{contact_name}} và {{phone_number}}")
+            for f in range(3)
+        ]
+        + [("south", "call_contact", f, f"kiểu {f} {{contact_name}}") for f in range(3)],
+        "region string, intent string, family int, template string",
+    )
+    values = {"contact_name": [f"an{i}" for i in range(20)], "phone_number": [f"09{i}" for i in range(7)]}
+
+    def make(n):
+        return B.template_rows(spark, templates, values, tagging.TRACKS, {"call_contact": n})
+
+    # 28 of 40 train and 6 each test and validate; a southern template has 20 fillings.
+    with pytest.raises(ValueError, match="south/call_contact/train"):
+        make(40)
+    rows = [r for r in make(28).collect() if r["variant_type"] == "regional"]
+    assert len(rows) == 2 * 28 and len({r["text"] for r in rows}) == 2 * 28
+    # 20 of 28 train: all that the southern template can give.
+    south = {r["text"].split()[-1] for r in rows if (r["region"], r["split"]) == ("south", "train")}
+    assert south == set(values["contact_name"])
+
+
+@pytest.mark.parametrize("side", [1, 2, 7, 30])
+def test_permutation_hits_every_number_once(spark, side):
+    at = spark.range(side * side)
+    out = at.select(B.permuted(F.col("id"), F.lit(side).cast("long"), F.lit(5), F.lit("x")).alias("to"))
+    got = [r["to"] for r in out.collect()]
+    assert sorted(got) == list(range(side * side))
+    assert side < 7 or got != sorted(got)
+
+
+def test_line_numbers_of_a_file_in_many_splits(spark, tmp_path):
+    good = json.dumps({"id": "x", "text": "gọi cho mẹ"}, ensure_ascii=False)
+    want = set()
+    for name in ("train.jsonl", "test_north.jsonl"):
+        lines = [good if i % 3 else "" for i in range(4000)]
+        for at in (0, 1, 777, 2500, 3999):
+            lines[at] = f"{{broken {at}"
+            want.add((name, at + 1, lines[at]))
+        (tmp_path / name).write_text("\n".join(lines), "utf-8")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        bad = R.bad_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        assert {tuple(r) for r in bad.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def T_fold(text):
     import unicodedata
 
@@ -208,7 +260,7 @@ def test_reader_and_writers(spark, tmp_path):
     assert got["a"]["slots"] == {"datetime": ["mai", "tối nay"]}
     assert (got["n"]["split"], got["a"]["split"]) == ("test", "train")
     bad = R.bad_lines(spark, str(tmp_path / "in")).collect()
-    assert [(r["file"], r["line"]) for r in bad] == [("train.jsonl", "{broken")]
+    assert [(r["file"], r["line_number"], r["line"]) for r in bad] == [("train.jsonl", 4, "{broken")]
     assert R.read_reviewed_seed(spark, str(north)).first()["split"] == "train"
     out = str(tmp_path / "out")
     K.write_dataset(df, out)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.bag_minhash import WordHashes, mix
@@ -66,20 +66,6 @@ def hashed(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.fromiter(map(hashes.__getitem__, words), "u8", len(words))
 
 
-def long_texts(texts: DataFrame) -> DataFrame:
-    """(key, stop): the words of every text that has at least ``LEAST``, a row for each of its rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.array([len((t or "").split()) for t in batch.column(1).to_pylist()], "i4")
-            at = np.nonzero(sizes >= LEAST)[0]
-            keys = batch.column(0).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(sizes[at])], ["key", "stop"])
-
-    # So many words have at least a sign each and one between any two.
-    return texts.where(F.length("text") >= 2 * LEAST - 1).mapInArrow(run, "key binary, stop int")
-
-
 def run_counts(texts: DataFrame) -> DataFrame:
     """The hashes of runs that are the least of windows of at least two different texts."""
 
@@ -129,7 +115,11 @@ def _among(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def windows(texts: DataFrame, runs: np.ndarray, repeated: np.ndarray | None = None) -> DataFrame:
     """(window, key, at) of every window whose least run is in the bitmap ``runs`` and whose hash is in
-    the bitmap ``repeated``; without the latter (window, owner), each window once a text."""
+    the bitmap ``repeated``; without the latter (window, owner), each window once a text.
+
+    With ``repeated``, every text of at least ``LEAST`` words also gives a row whose window is the number
+    of its key (:func:`key_number`) and whose at is the count of its words, negative.
+    """
     context = texts.sparkSession.sparkContext
     first, second = context.broadcast(runs), None if repeated is None else context.broadcast(repeated)
 
@@ -155,15 +145,17 @@ def windows(texts: DataFrame, runs: np.ndarray, repeated: np.ndarray | None = No
                     continue
                 seen.add(key)
                 words = hashed(text.as_py(), hashes)
-                at = np.nonzero(_among(first.value.view("u8"), least_runs(words)))[0]
-                if not len(at):
+                if len(words) < LEAST:
                     continue
+                at = np.nonzero(_among(first.value.view("u8"), least_runs(words)))[0]
                 window = powers(words, LEAST)[at]
                 if second is None:
                     window = np.unique(window)
                 else:
                     hit = _among(second.value.view("u8"), window)
-                    window, at = window[hit], at[hit]
+                    own = np.array([int.from_bytes(key[:8], "big")], "u8")
+                    window = np.concatenate([own, window[hit]])
+                    at = np.concatenate([[-len(words)], at[hit]])
                 found.append(window)
                 keys.append(key)
                 places.append(at)
@@ -183,14 +175,29 @@ def _fixed(values: np.ndarray, width: pa.DataType) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(width, len(values), [None, data]).cast(pa.binary())
 
 
+def key_number(key: Column) -> Column:
+    """The first eight bytes of a key as a signed number."""
+    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
+
+
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key, start, stop): windows of words that a text shares with another one; they may overlap."""
+    """(key, start, stop): windows of words that a text shares with another one, which may overlap, and
+    the whole of texts that occur more than once."""
     texts = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
     runs = _bitmap(run_counts(texts))
     ends = windows(texts, runs).groupBy("window").agg(F.min("owner").alias("x"), F.max("owner").alias("y"))
     repeated = cut_lineage(ends.where("x <> y").select("window"))
-    places = windows(texts, runs, _bitmap(repeated)).join(repeated, "window", "left_semi")
-    spans = places.select("key", F.col("at").alias("start"), (F.col("at") + LEAST).alias("stop"))
+    copied = texts.groupBy("key").count().where("count > 1").select(key_number(F.col("key")).alias("window"))
+    wanted = repeated.withColumn("whole", F.lit(False)).unionByName(
+        copied.withColumn("whole", F.lit(True))
+    )
+    places = windows(texts, runs, _bitmap(repeated)).withColumn("whole", F.col("at") < 0)
+    at = F.col("at")
+    spans = places.join(wanted, ["window", "whole"], "left_semi").select(
+        "key",
+        F.when(at < 0, 0).otherwise(at).alias("start"),
+        F.when(at < 0, -at).otherwise(at + LEAST).alias("stop"),
+    )
     return spans.distinct()
 
 
@@ -214,18 +221,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document with repeats: doc_id, words in repeated passages, and the passages' word spans."""
     spans = repeated_spans(docs, text)
-    texts = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
-    copies = (
-        long_texts(texts)
-        .groupBy("key", "stop")
-        .count()
-        .where("count > 1")
-        .select("key", F.lit(0).alias("start"), "stop")
-    )
     pair = F.struct("start", "stop")
     merged = (
-        spans.unionByName(copies)
-        .groupBy("key")
+        spans.groupBy("key")
         .agg(F.collect_set(pair).alias("spans"))
         .mapInArrow(_merge, "key binary, spans array<struct<start: int, stop: int>>")
     )

@@ -148,7 +148,9 @@ def windows(texts: DataFrame, runs: np.ndarray, repeated: np.ndarray | None = No
                 if len(words) < LEAST:
                     continue
                 at = np.nonzero(_among(first.value.view("u8"), least_runs(words)))[0]
-                window = powers(words, LEAST)[at]
+                if second is None and not len(at):
+                    continue
+                window = powers(words, LEAST)[at] if len(at) else np.empty(0, "u8")
                 if second is None:
                     window = np.unique(window)
                 else:

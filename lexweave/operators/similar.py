@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,8 +27,14 @@ from lexweave.operators.splits import rank_of
 from lexweave.rules import domains as D
 from lexweave.session import cut_lineage
 
-# The first of two rounds compares with so many members of every posting list.
+# Posting lists that would form more than this number squared of pairs are split by further tokens.
+LONGEST = 1000
+# Lists of so many shared tokens are compared as they are.
+DEPTH = 5
+# Where lists are long, so many members of each are tried first.
 FIRST_ROUND = 8
+# What members of a posting list share; ``target`` is the part of the right side.
+LISTS = ["token", "band", "target"]
 
 
 @dataclass(frozen=True)
@@ -85,46 +92,158 @@ def _postings(side: DataFrame, rule: Similarity, spread: bool) -> DataFrame:
     width = -math.log(rule.length - 1e-9)
     band = F.floor(F.log(chars.cast("double")) / width).cast("int")
     bands = F.array(band - 1, band, band + 1) if spread else F.array(band)
+    kept = ["key", "target", "n", "chars", "bits"]
     sized = side.where(n > 0).select(
-        "key", "part", n.alias("n"), chars.alias("chars"), _bits(F.col("hashes")).alias("bits"),
+        "key", "target", n.alias("n"), chars.alias("chars"), _bits(F.col("hashes")).alias("bits"),
         bands.alias("bands"), prefix.alias("prefix"),
     )
-    return sized.select(
-        "key", "part", "n", "chars", "bits", F.explode("bands").alias("band"), "prefix"
-    ).select(
-        "key", "part", "n", "chars", "bits", "band", F.posexplode("prefix").alias("pos", "token")
+    return sized.select(*kept, F.explode("bands").alias("band"), "prefix").select(
+        *kept, "band", F.posexplode("prefix").alias("pos", "token")
     )
 
 
-def _candidates(left: DataFrame, right: DataFrame, rule: Similarity) -> DataFrame:
-    """Distinct key pairs that share a prefix token and pass the length and sketch bounds."""
+def _aimed(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Left texts once for every larger part that the right side has, and the right texts; both with
+    the right side's part as ``target``."""
+    parts = literal(sorted(r[0] for r in right.select("part").distinct().collect()), "array<int>")
+    larger = F.filter(parts, lambda p: p > F.col("part"))
+    return left.withColumn("target", F.explode(larger)), right.withColumn("target", F.col("part"))
+
+
+def long_lists(left: DataFrame, right: DataFrame, longest: int) -> DataFrame:
+    """The lists whose members would form more than ``longest`` squared pairs, written once."""
+    sizes = left.groupBy(*LISTS).agg(F.count("*").alias("ln")).join(
+        right.groupBy(*LISTS).agg(F.count("*").alias("rn")), LISTS
+    )
+    return cut_lineage(sizes.where(F.col("ln") * F.col("rn") > longest * longest).select(*LISTS))
+
+
+def _longer(members: DataFrame, side: DataFrame, rule: Similarity, depth: int) -> DataFrame:
+    """Members of lists of ``depth`` shared tokens, once for every token that may be the next shared
+    one: with an overlap of at least ceil(n * floor), it stands at most so far back."""
+    last = F.col("n") - F.ceil(F.col("n") * rule.jaccard - 1e-9).cast("int") + depth
+    further = F.slice("hashes", F.col("pos") + 2, F.greatest(last - F.col("pos"), F.lit(0)))
+    kept = ["key", "target", "n", "chars", "bits", "band"]
+    return (
+        members.join(side.select("key", "target", "hashes"), ["key", "target"])
+        .select(*kept, "pos", "token", F.posexplode(further).alias("step", "next"))
+        .select(
+            *kept,
+            (F.col("pos") + 1 + F.col("step")).alias("pos"),
+            F.xxhash64("token", "next").alias("token"),
+        )
+    )
+
+
+def _needed(rule: Similarity, n_a: Column, n_b: Column) -> Column:
+    """Shared tokens that the Jaccard floor asks of two texts."""
+    return (n_a + n_b) * (rule.jaccard / (1 + rule.jaccard)) - 1e-6
+
+
+def _same_list() -> Column:
+    return reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in LISTS])
+
+
+def _met(left: DataFrame, right: DataFrame, rule: Similarity, *also: str) -> DataFrame:
+    """Members of equal lists that pass the length and sketch bounds, side by side."""
     a, b = left.alias("a"), right.alias("b")
     n_a, n_b = F.col("a.n"), F.col("b.n")
     c_a, c_b = F.col("a.chars"), F.col("b.chars")
-    # Jaccard >= j needs this many shared tokens.
-    need = (n_a + n_b) * (rule.jaccard / (1 + rule.jaccard)) - 1e-6
     only_a = F.bit_count(F.col("a.bits").bitwiseAND(F.bitwise_not(F.col("b.bits"))))
     only_b = F.bit_count(F.col("b.bits").bitwiseAND(F.bitwise_not(F.col("a.bits"))))
-    close = F.least(c_a, c_b) >= F.greatest(c_a, c_b) * (rule.length - 1e-9)
-    possible = (n_a - only_a >= need) & (n_b - only_b >= need)
-    # At the first shared token, only later tokens can add to the overlap.
-    rest = F.least(n_a - F.col("a.pos"), n_b - F.col("b.pos"))
+    need = _needed(rule, n_a, n_b)
     joined = a.join(
         b,
-        (F.col("a.token") == F.col("b.token"))
-        & (F.col("a.band") == F.col("b.band"))
-        & (F.col("a.part") < F.col("b.part"))
-        & close
-        & (rest >= need)
-        & possible,
+        _same_list()
+        & (F.least(c_a, c_b) >= F.greatest(c_a, c_b) * (rule.length - 1e-9))
+        & (n_a - only_a >= need)
+        & (n_b - only_b >= need),
     )
-    return joined.select(F.col("a.key").alias("left"), F.col("b.key").alias("right")).distinct()
+    return joined.select(
+        F.col("a.key").alias("left"),
+        F.col("b.key").alias("right"),
+        "b.target",
+        need.alias("need"),
+        (n_a - 1 - F.col("a.pos")).alias("rest_a"),
+        (n_b - 1 - F.col("b.pos")).alias("rest_b"),
+        *[F.least(f"a.{c}", f"b.{c}").alias(c) for c in also],
+    )
+
+
+def _candidates(
+    left_side: DataFrame, right_side: DataFrame, rule: Similarity, longest: int, long: DataFrame
+) -> DataFrame:
+    """Distinct key pairs (left, right, target) that share a prefix token and may reach the floor.
+
+    Shared prefix tokens are counted: with what follows the last of them, both texts must still be able
+    to share enough. Members of a long list meet only where they share the next token too, and so on;
+    a pair for which the tokens of the list are enough by themselves is a pair of that list.
+    """
+    left, right = _postings(left_side, rule, False), _postings(right_side, rule, True)
+    few = long.isEmpty()
+    told = {"short": (left, right)}
+    if not few:
+        told = {}
+        for name, rows in (("left", left), ("right", right)):
+            marked = rows.join(long.withColumn("is_long", F.lit(True)), LISTS, "left")
+            held = cut_lineage(marked.withColumn("is_long", F.col("is_long").isNotNull()))
+            counts = held.where("is_long").groupBy("key", "target", "band").agg(F.count("*").alias("unseen"))
+            short = held.where("not is_long").join(counts, ["key", "target", "band"], "left")
+            told[name] = held.where("is_long").drop("is_long")
+            told[name, "short"] = short.fillna(0, ["unseen"]).drop("is_long")
+        told["short"] = told["left", "short"], told["right", "short"]
+    also = () if few else ("unseen",)
+    counted = (
+        _met(*told["short"], rule, *also)
+        .groupBy("left", "right", "target", "need", *also)
+        .agg(F.count("*").alias("seen"), F.min("rest_a").alias("ra"), F.min("rest_b").alias("rb"))
+    )
+    unseen = F.lit(0) if few else F.col("unseen")
+    possible = F.col("seen") + unseen + F.least("ra", "rb") >= F.col("need")
+    pairs = counted.where(possible).select("left", "right", "target")
+    if few:
+        return pairs
+    left, right = told["left"], told["right"]
+    depth = 1
+    while not long.isEmpty():
+        ends = F.ceil(F.col("n") * rule.jaccard - 1e-9) <= depth
+        most = F.lit(math.floor(depth * (1 + rule.jaccard) / rule.jaccard + 1e-6))
+        partners = F.sequence(F.lit(1), F.greatest(most - F.col("n"), F.lit(1)))
+        ended = right.where(ends & (F.col("n") < most)).withColumn("an", F.explode(partners))
+        enough = _met_of_sizes(left.where(ends), ended, rule)
+        left = cut_lineage(_longer(left, left_side, rule, depth))
+        right = cut_lineage(_longer(right, right_side, rule, depth))
+        depth += 1
+        long = long_lists(left, right, longest)
+        if depth == DEPTH:
+            long = long.limit(0)
+        shorter = _met(
+            left.join(long, LISTS, "left_anti"), right.join(long, LISTS, "left_anti"), rule
+        ).where(F.least("rest_a", "rest_b") + depth >= F.col("need"))
+        pairs = pairs.unionByName(enough).unionByName(
+            shorter.select("left", "right", "target")
+        )
+        left, right = left.join(long, LISTS, "left_semi"), right.join(long, LISTS, "left_semi")
+    return pairs.distinct()
+
+
+def _met_of_sizes(left: DataFrame, right: DataFrame, rule: Similarity) -> DataFrame:
+    """Pairs of a list whose sizes ask for no more tokens than the list has; ``an`` of the right side
+    runs over the sizes of their partners."""
+    a, b = left.alias("a"), right.alias("b")
+    c_a, c_b = F.col("a.chars"), F.col("b.chars")
+    return a.join(
+        b,
+        _same_list()
+        & (F.col("a.n") == F.col("b.an"))
+        & (F.least(c_a, c_b) >= F.greatest(c_a, c_b) * (rule.length - 1e-9)),
+    ).select(F.col("a.key").alias("left"), F.col("b.key").alias("right"), "b.target")
 
 
 def _verified(
     candidates: DataFrame, left: DataFrame, right: DataFrame, rule: Similarity
 ) -> DataFrame:
-    """Exact tests on candidate pairs: ``(left, right, jaccard, score)``.
+    """Exact tests on candidate pairs: ``(left, right, target, jaccard, score)``.
 
     Most candidates fail on token overlap, so that test joins only 64-bit token hashes; texts
     travel for the pairs that pass, and the overlap is then taken on the tokens themselves.
@@ -134,7 +253,7 @@ def _verified(
     ).join(right.select(F.col("key").alias("right"), F.col("hashes").alias("rh")), "right")
     close = hashed.where(
         _jaccard(F.col("lh"), F.col("rh")) >= rule.jaccard - 1e-9
-    ).select("left", "right")
+    ).select("left", "right", "target")
     sides = close.join(
         left.select(
             F.col("key").alias("left"), F.col("text").alias("lt"), F.col("tokens").alias("la")
@@ -153,13 +272,15 @@ def _verified(
         {"jaccard": _jaccard(F.col("la"), F.col("ra")), "lengths": lengths}
     ).where((F.col("jaccard") >= rule.jaccard) & (F.col("lengths") >= rule.length))
     if rule.sequence is None:
-        return passed.select("left", "right", "jaccard", F.col("jaccard").alias("score"))
+        return passed.select(
+            "left", "right", "target", "jaccard", F.col("jaccard").alias("score")
+        )
     # Matching blocks cannot hold more of a character than both texts have: most pairs that fail
     # do so here, before any Python.
     bounded = passed.where(_common_characters(F.col("lt"), F.col("rt")) >= rule.sequence - 1e-9)
     scored = bounded.withColumn("score", sequence_ratio("lt", "rt"))
     return scored.where(F.col("score") >= rule.sequence).select(
-        "left", "right", "jaccard", "score"
+        "left", "right", "target", "jaccard", "score"
     )
 
 
@@ -187,55 +308,55 @@ def _token_columns(text: Column) -> dict[str, Column]:
 
 
 def _blank_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two texts without tokens are similar only when both are empty; a side has at most one."""
-    a = left.where(F.col("text") == "").select(
-        F.col("key").alias("left"), F.col("part").alias("lp"), F.col("text")
-    )
-    b = right.where(F.col("text") == "").select(
-        F.col("key").alias("right"), F.col("part").alias("rp"), F.col("text")
-    )
+    """Two texts without tokens are similar only when both are empty; a side has at most one a part."""
+    a = left.where(F.col("text") == "").select(F.col("key").alias("left"), "target")
+    b = right.where(F.col("text") == "").select(F.col("key").alias("right"), "target")
     one = F.lit(1.0)
-    return (
-        a.join(b, "text")
-        .where("lp < rp")
-        .select("left", "right", one.alias("jaccard"), one.alias("score"))
+    return a.join(b, "target").select(
+        "left", "right", "target", one.alias("jaccard"), one.alias("score")
     )
 
 
 def similar_pairs(
-    left: DataFrame, right: DataFrame, rule: Similarity = Similarity()
+    left: DataFrame, right: DataFrame, rule: Similarity = Similarity(), longest: int = LONGEST
 ) -> DataFrame:
-    """All similar pairs of two sides: ``(left, right, jaccard, score)``.
+    """All similar pairs of two sides: ``(left, right, target, jaccard, score)``.
 
-    Texts are distinct per side and ``part``, their hashes in the order of :func:`rarest_first`;
-    a pair needs a smaller ``part`` on the left.
+    Texts are distinct per side and ``part``, their keys per side and their hashes in the order of
+    :func:`rarest_first`; a pair needs a smaller ``part`` on the left.
     """
-    candidates = _candidates(
-        _postings(left, rule, spread=False), _postings(right, rule, spread=True), rule
-    )
-    return _verified(candidates, left, right, rule).unionByName(_blank_pairs(left, right))
+    aimed, right = _aimed(left, right)
+    long = long_lists(_postings(aimed, rule, False), _postings(right, rule, True), longest)
+    candidates = _candidates(aimed, right, rule, longest, long)
+    return _verified(candidates, left, right, rule).unionByName(_blank_pairs(aimed, right))
 
 
 def similar_keys(
-    left: DataFrame, right: DataFrame, rule: Similarity = Similarity()
+    left: DataFrame, right: DataFrame, rule: Similarity = Similarity(), longest: int = LONGEST
 ) -> DataFrame:
-    """Left keys with at least one similar text on the right.
+    """Left keys with at least one similar text on the right, by part of it: (key, target).
 
-    A round against a few members of every posting list settles most near copies; what is left
-    meets the full lists.
+    Where lists are long, members of them first meet a few texts of each, which settles most near
+    copies; what is left meets all.
     """
-    right_postings = _postings(right, rule, spread=True)
-    rank = F.row_number().over(W.partitionBy("token", "band").orderBy("key"))
-    few = right_postings.withColumn("rn", rank).where(F.col("rn") <= FIRST_ROUND).drop("rn")
-    pairs = _candidates(_postings(left, rule, spread=False), few, rule)
-    settled = cut_lineage(
-        _verified(pairs, left, right, rule).select(F.col("left").alias("key")).distinct()
-    )
-    rest = cut_lineage(left.join(settled, "key", "left_anti"))
-    pairs = _candidates(_postings(rest, rule, spread=False), right_postings, rule)
-    late = _verified(pairs, rest, right, rule).select(F.col("left").alias("key"))
-    blank = _blank_pairs(left, right).select(F.col("left").alias("key"))
-    return blank.unionByName(settled).unionByName(late).distinct()
+    aimed, right = _aimed(left, right)
+    sides = ["key", "target"]
+    done = _blank_pairs(aimed, right).select(F.col("left").alias("key"), "target")
+    postings, others = _postings(aimed, rule, False), _postings(right, rule, True)
+    long = long_lists(postings, others, longest)
+    if not long.isEmpty():
+        members = postings.join(long, LISTS, "left_semi").select(*sides).distinct()
+        rank = F.row_number().over(W.partitionBy(*LISTS).orderBy("key"))
+        chosen = others.join(long, LISTS, "left_semi").withColumn("rn", rank)
+        chosen = chosen.where(F.col("rn") <= FIRST_ROUND).select(*sides).distinct()
+        a = cut_lineage(aimed.join(members, sides, "left_semi"))
+        b = cut_lineage(right.join(chosen, sides, "left_semi"))
+        found = _verified(_candidates(a, b, rule, longest, long), left, right, rule)
+        settled = cut_lineage(found.select(F.col("left").alias("key"), "target").distinct())
+        aimed = cut_lineage(aimed.join(settled, sides, "left_anti"))
+        done = done.unionByName(settled)
+    late = _verified(_candidates(aimed, right, rule, longest, long), left, right, rule)
+    return done.unionByName(late.select(F.col("left").alias("key"), "target")).distinct()
 
 
 def templates(df: DataFrame, text: str, id_col: str = "id", split: str = "split") -> DataFrame:
@@ -258,25 +379,29 @@ def near_dup_pairs(
     id_col: str = "id",
     rule: Similarity = Similarity(),
     limit: int | None = None,
+    longest: int = LONGEST,
 ) -> DataFrame:
     """Similar pairs across splits, by split pair, left and right id; the first ``limit`` if given.
 
-    For a limit the left rows that have any partner are found first. The first ``limit`` of them
-    hold the first ``limit`` pairs, so only those are paired out in full.
+    For a limit the left rows that have any partner are found first. The first ``limit`` of them in each
+    split hold the first ``limit`` pairs, so only those are paired out in full.
     """
     distinct = cut_lineage(rarest_first(cut_lineage(templates(df, text, id_col))))
     left, right = distinct.where("part < 2"), distinct.where("part > 0")
     if limit is None:
-        pairs = similar_pairs(left, right, rule)
+        pairs = similar_pairs(left, right, rule, longest)
     else:
-        pairs = None
-        for a, b in ((0, 1), (0, 2), (1, 2)):
-            one, other = distinct.where(F.col("part") == a), distinct.where(F.col("part") == b)
-            keys = similar_keys(one, other, rule)
-            first = keys.join(one.select("key", "id"), "key").orderBy("id").limit(limit)
-            chosen = one.join(F.broadcast(first.select("key")), "key", "left_semi")
-            found = similar_pairs(chosen, other, rule)
-            pairs = found if pairs is None else pairs.unionByName(found)
+        found = similar_keys(left, right, rule, longest)
+        order = W.partitionBy("part", "target").orderBy("id")
+        ranked = found.join(left.select("key", "part", "id"), "key").withColumn(
+            "rn", F.row_number().over(order)
+        )
+        first = cut_lineage(ranked.where(F.col("rn") <= limit).select("key", "target"))
+        chosen = left.join(F.broadcast(first), "key")
+        aimed = right.withColumn("target", F.col("part"))
+        # So few texts on the left make no list that grows faster than the right side.
+        found = _candidates(chosen, aimed, rule, longest, first.limit(0))
+        pairs = _verified(found, left, right, rule).unionByName(_blank_pairs(chosen, aimed))
     names = literal(list(D.SPLITS), "array<string>")
 
     def split_of(key: str):
@@ -312,6 +437,7 @@ def cross_split_anti(
     group: str = "group_id",
     id_col: str = "id",
     rule: Similarity = Similarity(),
+    longest: int = LONGEST,
 ) -> DataFrame:
     """Drop validation groups similar to test, then train groups similar to test or to the
     validation groups that stayed. A group is judged by its first row's text."""
@@ -331,10 +457,12 @@ def cross_split_anti(
         return distinct.where(F.col("split") == name).drop("split").withColumn("part", F.lit(part))
 
     test = side("test", 1)
-    bad_validation = cut_lineage(similar_keys(side("validation", 0), test, rule))
+    bad_validation = cut_lineage(
+        similar_keys(side("validation", 0), test, rule, longest).select("key")
+    )
     kept = side("validation", 1).join(bad_validation, "key", "left_anti")
     protected = first_per_key(test.unionByName(kept), ["key"], [F.col("key")])
-    bad_train = similar_keys(side("train", 0), protected, rule)
+    bad_train = similar_keys(side("train", 0), protected, rule, longest).select("key")
     bad = bad_validation.select(F.lit("validation").alias("split"), "key").unionByName(
         bad_train.select(F.lit("train").alias("split"), "key")
     )

@@ -11,7 +11,8 @@ g is additive over ten bins of each of the text's statistics (shares of kinds of
 repetition, lengths), which come from the whole text; bin edges are quantiles of the sample.
 
 Cases: a null text counts as empty and is scored like one; documents with a null id are never learnt
-from; a document labelled twice counts twice. Without any positive label every score is the prior.
+from; an id of several rows or labels is drawn once, with its least text; every row is scored. Without
+any positive label every score is the prior.
 Other columns pass unchanged; a column named like a result is replaced.
 """
 
@@ -134,8 +135,9 @@ def is_held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Scorer:
     """Fit on bounded samples, chosen by a hash of the id, outside the held-out third.
 
-    Labelled ids and unlabelled ids are drawn from narrow columns first; only the drawn documents'
-    texts are read, and their statistics come to the driver (at most 40,000 short rows).
+    Distinct labelled ids and unlabelled ids are drawn from narrow columns first; only the drawn documents'
+    texts are read, one a drawn id (the least, where an id repeats), and their statistics come to the
+    driver (at most 40,000 short rows).
     """
     usable = labels.select(F.col("doc_id").alias("id"), "quality").where(
         "id is not null and quality is not null"
@@ -149,11 +151,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     ids = ids.where(~is_held_out(F.col("id")))
     order = [F.xxhash64(F.col("id")), F.col("id")]
     positive = usable.where("quality = 1").select("id", F.lit(1).alias("kind"))
-    drawn = positive.orderBy(*order).limit(POSITIVES).unionByName(
-        ids.select("id", F.lit(0).alias("kind")).orderBy(*order).limit(UNLABELLED)
+    drawn = positive.distinct().orderBy(*order).limit(POSITIVES).unionByName(
+        ids.select("id", F.lit(0).alias("kind")).distinct().orderBy(*order).limit(UNLABELLED)
     )
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(
-        F.broadcast(drawn), "id"
+    rows = (
+        docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+        .join(F.broadcast(drawn), "id")
+        .groupBy("id", "kind")
+        .agg(F.min("text").alias("text"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

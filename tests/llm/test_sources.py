@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -300,3 +301,23 @@ def test_pipeline_over_clashing_columns(spark, table, tmp_path):
     assert len({0, 60} & got.keys()) <= 1 and len({1, 61} & got.keys()) <= 1
     assert set(out.columns) == {*(c.split()[0] for c in schema.split(", ")), "ids", "decoded"}
     assert all(r.decoded == (r.text or "") and r.text_key == 3 for r in got.values())
+
+
+def test_repeated_ids_are_drawn_once(table, monkeypatch):
+    """Rows and labels of an id may repeat; the sample has one row an id, and all rows are scored."""
+    texts = [f"word{i} and some more text {i * i}" for i in range(60)] + ["same id, other words " * 9] * 600
+    rows = [(i if i < 60 else 60 + i % 3, t) for i, t in enumerate(texts)]
+    docs = table(rows, "doc_id bigint, text string")
+    labels = table([(i % 63, 1) for i in range(400)], "doc_id bigint, quality int")
+    sizes = []
+    real = positive_unlabelled.fit
+
+    def fit(positive, unlabelled, prior):
+        sizes.append((len(positive), len(unlabelled)))
+        return real(positive, unlabelled, prior)
+
+    monkeypatch.setattr(positive_unlabelled, "fit", fit)
+    scorer = positive_unlabelled.train(docs, labels)
+    learnt = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(63))
+    assert sizes == [(learnt, learnt)]
+    assert positive_unlabelled.score(docs, scorer).where("score between 0 and 1").count() == len(rows)

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import rewrite as R
 from lexweave.functions import text as T
+from lexweave.operators import tagging as G
+from lexweave.sources.tables import read_table
 
 
 def test_detection_alone_finds_the_region_of_the_rewriting(spark):
@@ -29,3 +31,30 @@ def test_a_text_folded_once_is_masked_as_the_text(spark):
         T.mask_slots(text, slots).alias("a"), T.mask_slots(text, slots, T.folded_canonical(text)).alias("b")
     ).first()
     assert row.a == row.b == "la <x> <number> la"
+
+
+def _analyzed(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_tag_reads_its_text_once(spark):
+    df = spark.createDataFrame([("gọi cho lan nhé",), ("nhắc tôi mua sữa nhé",)], "t string")
+    none, t = G.Dictionaries({}), F.col("t")
+    none.best = lambda *_: F.lit(None).cast("string")
+    tags = {
+        "contact": (G.tag_contact(t, t, none), G.R.CONTACT_CUE[0]),
+        "reminder": (G.tag_reminder(t, t, F.lit(None).cast("string"), none), G.R.REMINDER_PEEL[1]),
+        "song": (G.tag_song(t, t, none), G.R.SONG_CUE),
+        "artist": (G.tag_artist(t, t, none), G.R.ARTIST_CUES[1]),
+        "location": (G.tag_location(t, t, none), G.R.LOCATION_CUE),
+    }
+    for name, (tag, pattern) in tags.items():
+        assert _analyzed(df.select(tag.alias("x"))).count(T.java(pattern)) == 1, name
+    assert [r.x for r in df.select(tags["contact"][0].alias("x")).collect()][0] == "lan"
+    assert [r.x for r in df.select(tags["reminder"][0].alias("x")).collect()][1] == "mua sữa"
+
+
+def test_heavy_rows_are_dealt_out_by_their_number(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    dealt = read_table(spark, str(tmp_path), "t", "id", rows=50)
+    assert dealt.rdd.getNumPartitions() == 20 and dealt.count() == 1000

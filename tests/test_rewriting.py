@@ -57,3 +57,28 @@ def test_nulls_conflicts_and_many_rules(spark):
     with pytest.raises(ValueError):
         rewrite_by_table(df, two)
     assert rewrite_by_table(df.limit(0), many).collect() == []
+
+
+def test_long_chains_between_words_need_few_rounds(spark):
+    # Sixty words that each become the next: a round per link was an error beyond fifty.
+    names = [f"w{i:02d}" for i in range(61)]
+    rules = dict(zip(names, names[1:]))
+    rules |= {"zz": "w00", "đau": "đầu", "đầu": "x_1", "same": "same"}
+    texts = ["w00 w00, w58 w60!", "zz w59-w59", "đau đầu đau_ same", "W00 w00x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    table = spark.createDataFrame([*rules.items()], "src string, dst string")
+    got = {r.id: (r.rewritten, r.trace) for r in rewrite_by_table(df, table).collect()}
+    assert got[0][0] == "w60 w60, w60 w60!" and len(got[0][1]) == 122
+    assert got[0][1][:4] == ["w00 -> w01", "w00 -> w01", "w01 -> w02", "w01 -> w02"]
+    # "zz" has its turn after all of them.
+    assert got[1] == ("w00 w60-w60", ["w59 -> w60", "w59 -> w60", "zz -> w00"])
+    assert got[2][0] == "x_1 x_1 đau_ same" and got[3] == ("W00 w00x", [])
+
+
+def test_random_word_rules_equal_the_fold(spark):
+    rng = random.Random(9)
+    words = [a + b for a in ("a", "b", "đ", "é", "cc") for b in ("", "x", "1", "_", "zz")]
+    rules = {w: rng.choice(words) for w in rng.sample(words, 20)}
+    texts = [rng.choice([" ", "-", ", "]).join(rng.choices([*words, "q", "(a)"], k=9)) for _ in range(60)]
+    table, literal = both_ways(spark, texts, rules)
+    assert table == literal

@@ -113,6 +113,14 @@ def classification_report(
     )
 
 
+def _distinct_values(values: Column) -> Column:
+    """A slot's distinct surface values. Values that are in surface form already are told together: joined by
+    single spaces they make a text in surface form."""
+    joined = F.array_join(values, " ")
+    tidy = let(joined, lambda j: T.normalize_surface(j) == j)
+    return F.array_distinct(F.when(tidy, values).otherwise(F.transform(values, T.normalize_surface)))
+
+
 def _told(slots: str) -> Column:
     """A slot map's distinct pairs as strings, which array functions hash; structs they compare one
     by one."""
@@ -128,45 +136,77 @@ def _told(slots: str) -> Column:
     return F.array_distinct(F.flatten(nested))
 
 
-def _pair(told: Column, kind: str) -> Column:
-    size = F.substring_index(told, ":", 1)
-    start = F.length(size) + 2
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        F.substr(told, start, size.cast("int")).alias("slot"),
-        F.substr(told, start + size.cast("int")).alias("value"),
+def _lists(slots: str) -> Column:
+    """Are all value lists of the map there?"""
+    return F.forall(F.map_values(slots), lambda v: v.isNotNull())
+
+
+def _alone(a: str, b: str) -> Column:
+    """Has ``a`` values in a slot where ``b`` has none?"""
+    return F.exists(
+        F.map_entries(a),
+        lambda e: F.get(e["value"], F.lit(0)).isNotNull()
+        & (F.coalesce(F.size(F.try_element_at(F.col(b), e["key"])), F.lit(0)) <= 0),
     )
 
 
 def slots_equal(a: str, b: str) -> Column:
+    """Do two slot maps hold the same pairs? Equal maps, and a slot that only one of them fills, are told
+    before any value is normalised."""
+
     def same(x: Column, y: Column) -> Column:
         return (F.size(x) == F.size(y)) & (F.size(F.array_except(x, y)) == 0)
 
-    return let(_told(a), lambda x: let(_told(b), lambda y: same(x, y)))
+    whole = _lists(a) & _lists(b)
+    alike = whole & (F.map_entries(a) == F.map_entries(b))
+    apart = whole & (_alone(a, b) | _alone(b, a))
+    told = let(_told(a), lambda x: let(_told(b), lambda y: same(x, y)))
+    return F.when(alike, True).when(apart, False).otherwise(told)
+
+
+def _compared(expected: str, predicted: str) -> Column:
+    """Per slot its name and the values ``tp``, ``fp`` and ``fn``; equal lists are normalised once."""
+    none = F.array().cast("array<string>")
+
+    def held(slots: str, key: Column) -> Column:
+        return F.when(F.map_contains_key(F.col(slots), key), F.try_element_at(F.col(slots), key)).otherwise(none)
+
+    def parted(slot: Column, tp: Column, fp: Column, fn: Column) -> Column:
+        return F.struct(slot.alias("slot"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+
+    def of(slot: Column, x: Column, y: Column) -> Column:
+        return parted(slot, F.array_intersect(x, y), F.array_except(y, x), F.array_except(x, y))
+
+    def compared(slot: Column, x: Column, y: Column) -> Column:
+        both = let(_distinct_values(x), lambda v: let(_distinct_values(y), lambda w: of(slot, v, w)))
+        return F.when(x == y, parted(slot, _distinct_values(x), none, none)).otherwise(both)
+
+    rows = F.transform(
+        F.array_union(F.map_keys(expected), F.map_keys(predicted)),
+        lambda k: let(held(expected, k), lambda x: let(held(predicted, k), lambda y: compared(k, x, y))),
+    )
+    return F.when(_lists(expected) & _lists(predicted), rows)
 
 
 def pair_diff(df: DataFrame, expected: str, predicted: str) -> DataFrame:
     """``(id, kind, slot, value)`` with kind ``tp``, ``fp`` or ``fn``. One narrow pass."""
-    told = {"__want": _told(expected), "__got": _told(predicted)}
-    rows = evaluate(df.select("id", expected, predicted), **told)
 
-    def marked(kind: str, pairs: Column) -> Column:
-        return F.transform(pairs, lambda p: _pair(p, kind))
+    def marked(slot: Column, kind: str, values: Column) -> Column:
+        return F.transform(
+            values, lambda v: F.struct(F.lit(kind).alias("kind"), slot.alias("slot"), v.alias("value"))
+        )
 
-    parts = F.concat(
-        marked("tp", F.array_intersect("__want", "__got")),
-        marked("fp", F.array_except("__got", "__want")),
-        marked("fn", F.array_except("__want", "__got")),
-    )
+    rows = df.select("id", F.inline(_compared(expected, predicted)))
+    parts = F.concat(*[marked(F.col("slot"), kind, F.col(kind)) for kind in ("tp", "fp", "fn")])
     return rows.select("id", F.inline(parts))
 
 
 def slot_prf(df: DataFrame, expected: str, predicted: str) -> DataFrame:
-    """Counts and scores per slot; the null slot is the micro average."""
+    """Counts and scores per slot; the null slot is the micro average. Pairs are counted in their row."""
     counts = (
-        pair_diff(df, expected, predicted)
-        .groupBy("slot")
-        .agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("tp", "fp", "fn")])
+        df.select(F.inline(_compared(expected, predicted)))
+        .select("slot", *[F.size(k).cast("bigint").alias(k) for k in ("tp", "fp", "fn")])
+        .where("tp + fp + fn > 0")
         .rollup("slot")
         .agg(*[F.sum(k).alias(k) for k in ("tp", "fp", "fn")])
     )

@@ -11,6 +11,7 @@ from lexweave.operators import metrics as M
 from lexweave.plans.queries_text import SQL_GATED, SQL_RULE_CLASSIFY, gated, rule_classified
 from lexweave.plans.registry import documents, query, r6, sql_key, sql_surface
 from lexweave.rules.domains import SWEEP_THRESHOLDS
+from lexweave.session import cut_lineage
 from lexweave.sources.tables import read_table
 
 LABELS = ("de", "en", "es", "fr")
@@ -190,6 +191,14 @@ def q_slot_exact(spark, d):
     return _rounded(M.slot_exact(slotted(spark, d), "want", "got"), "exact_match")
 
 
+def _judged(spark, d):
+    """Scored rows with ``slots_ok``: do the slots of all rows of their id agree? The texts are read once,
+    and only the answers are written and joined."""
+    ok = F.coalesce(M.slots_equal("want", "got"), F.lit(False))
+    rows = cut_lineage(slotted(spark, d).select("id", ok.alias("ok")))
+    return scored(spark, d).join(rows.groupBy("id").agg(F.bool_and("ok").alias("slots_ok")), "id")
+
+
 @query(
     "q_sliced_eval",
     f"""WITH {SQL_SCORED}, {SQL_SLOTTED},
@@ -203,9 +212,8 @@ def q_slot_exact(spark, d):
       round(count(*) FILTER (i AND s)::DOUBLE / count(*), 6) AS frame_exact FROM y GROUP BY ALL""",
 )
 def q_sliced_eval(spark, d):
-    both = scored(spark, d).join(slotted(spark, d).select("id", "want", "got"), "id")
-    intent = F.col("expected") == F.col("runtime")
-    slots = M.slots_equal("want", "got")
+    both = _judged(spark, d)
+    intent, slots = F.col("expected") == F.col("runtime"), F.col("slots_ok")
     flags = {"intent_accuracy": intent, "slot_exact": slots, "frame_exact": intent & slots}
     return _rounded(M.sliced_eval(both, ["source", "expected"], flags), *flags)
 
@@ -398,10 +406,10 @@ _REASONS = f"""{SQL_SCORED}, {SQL_SLOTTED},
 
 
 def _failing(spark, d):
-    both = scored(spark, d).join(slotted(spark, d).select("id", "want", "got"), "id")
+    both = _judged(spark, d)
     flags = {
         "intent": F.col("expected") == F.col("runtime"),
-        "slots": M.slots_equal("want", "got"),
+        "slots": F.col("slots_ok"),
         "action": F.col("runtime") != "unknown",
     }
     return both, M.failure_reasons(flags)

@@ -13,13 +13,19 @@ from pyspark.sql import functions as F
 
 from lexweave.operators.ordering import with_previous
 from lexweave.rules import domains as D
-from lexweave.session import literal_table
+from lexweave.session import cut_lineage, literal_table
 
 
 def text_key(x: Column) -> Column:
     return F.sha2(x, 256)
 
 
+def keyed_rows(df: DataFrame, key: Column, *columns: str | Column) -> DataFrame:
+    """The named columns with ``text_key``, written once: what reads the rows again, a join, a sort's sample or
+    a second count, reads keys and no texts."""
+    return cut_lineage(df.select(text_key(key).alias("text_key"), *columns))
+
+
 def differs(column: str) -> Column:
     """Does the group hold more than one value?"""
     return F.min(column) < F.max(column)
@@ -81,8 +87,8 @@ def prev_duplicate(
 ) -> DataFrame:
     """Rows whose predecessor with the same key sits in another group."""
     columns = dict.fromkeys([*order, group, id_col])
-    keyed = df.select(text_key(key).alias("text_key"), *columns)
-    linked = with_previous(keyed, ["text_key"], list(order), [group, id_col])
+    rows = keyed_rows(df, key, *columns)
+    linked = with_previous(rows, ["text_key"], list(order), [group, id_col])
     return linked.where(F.col(f"prev_{group}") != F.col(group)).select(
         "text_key",
         F.col(id_col).alias("id"),
@@ -134,9 +140,12 @@ def same_split_dups(df: DataFrame, key: Column) -> DataFrame:
 
 def label_conflict(df: DataFrame, key: Column, label: str) -> DataFrame:
     """Keys that carry more than one label."""
+    return _two_labels(df.select(text_key(key).alias("text_key"), F.col(label).alias("l")))
+
+
+def _two_labels(rows: DataFrame) -> DataFrame:
     return (
-        df.select(text_key(key).alias("text_key"), F.col(label).alias("l"))
-        .groupBy("text_key")
+        rows.groupBy("text_key")
         .agg(
             F.count("*").alias("n"), F.min("l").alias("first_label"), F.max("l").alias("last_label")
         )
@@ -144,11 +153,15 @@ def label_conflict(df: DataFrame, key: Column, label: str) -> DataFrame:
     )
 
 
-def drop_label_conflicts(df: DataFrame, key: Column, label: str) -> DataFrame:
-    """Remove every row of a key whose labels disagree."""
-    keyed = df.withColumn("text_key", text_key(key))
-    bad = label_conflict(df, key, label).select("text_key")
-    return keyed.join(bad, "text_key", "left_anti").drop("text_key")
+def drop_label_conflicts(
+    df: DataFrame, key: Column, label: str, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Remove every row of a key whose labels disagree. Of the other rows ``columns`` are kept, or all; these are
+    written once with the key."""
+    kept = df.columns if columns is None else list(columns)
+    rows = keyed_rows(df, key, *dict.fromkeys([*kept, label]))
+    bad = _two_labels(rows.select("text_key", F.col(label).alias("l"))).select("text_key")
+    return rows.join(bad, "text_key", "left_anti").select(*kept)
 
 
 def reconcile(recorded: DataFrame, actual: DataFrame) -> DataFrame:
@@ -166,9 +179,12 @@ def missing_files(df: DataFrame, expected: Sequence[str] = D.EXPECTED_FILES) ->
 
 def normalization_collisions(df: DataFrame, normalized: str = "normalized_text") -> DataFrame:
     """Normalised texts seen under several ids, and whether they cross splits."""
+    return _collisions(df.select(text_key(F.col(normalized)).alias("text_key"), "split", "id"))
+
+
+def _collisions(rows: DataFrame) -> DataFrame:
     return (
-        df.select(text_key(F.col(normalized)).alias("text_key"), "split", "id")
-        .groupBy("text_key")
+        rows.groupBy("text_key")
         .agg(
             F.count("*").alias("n"),
             F.min("split").alias("first_split"),
@@ -184,17 +200,16 @@ def normalization_audit(
     df: DataFrame, raw_folded: Column, normalized: str = "normalized_text"
 ) -> DataFrame:
     """Long table ``(metric, value, n)``: changed, unchanged, detected regions, collisions."""
-    rows = df.select(
-        F.when(F.col(normalized) != raw_folded, "changed").otherwise("unchanged").alias("change"),
-        F.col("normalizer_region").alias("region"),
-    )
+    change = F.when(F.col(normalized) != raw_folded, "changed").otherwise("unchanged")
+    region = F.col("normalizer_region").alias("region")
+    rows = keyed_rows(df, F.col(normalized), "split", "id", change.alias("change"), region)
     cells = rows.groupBy("change", "region").agg(F.count("*").alias("n"))
     labels = F.array(
         F.struct(F.lit("change").alias("metric"), F.col("change").alias("value")),
         F.struct(F.lit("region").alias("metric"), F.col("region").alias("value")),
     )
     counts = cells.select("n", F.inline(labels))
-    hits = normalization_collisions(df, normalized).select(
+    hits = _collisions(rows).select(
         F.lit(1).cast("bigint").alias("n"),
         F.lit("collision").alias("metric"),
         F.when(F.col("cross_split"), "cross_split").otherwise("same_split").alias("value"),

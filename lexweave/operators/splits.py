@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.operators.ordering import first_n_per_key, first_per_key, hash_rank
-from lexweave.operators.quality import drop_label_conflicts, label_conflict, text_key
+from lexweave.operators.quality import drop_label_conflicts, keyed_rows, label_conflict, text_key
 from lexweave.rules import domains as D
 from lexweave.session import literal_table
 
@@ -125,15 +125,19 @@ def same_split_pick(
     quality: str = "annotation_quality",
     id_col: str = "id",
     seed: int = 42,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per split and key: best quality, then the cell with the fewest unique rows, then
     hash order, then id.
 
     The cell counts are those of rows whose key is unique. They are fixed before any choice, which
-    keeps the choice parallel.
+    keeps the choice parallel. ``columns`` of the chosen rows are kept, or all; they are written once with
+    the key.
     """
-    keyed = df.withColumn("__key", text_key(key))
-    sizes = keyed.groupBy("split", "__key").agg(
+    own = df.columns if columns is None else list(columns)
+    used = dict.fromkeys([*own, "split", *cell, quality, id_col])
+    rows = keyed_rows(df, key, *used).withColumnRenamed("text_key", "__key")
+    sizes = rows.groupBy("split", "__key").agg(
         F.count("*").alias("__n"), *[F.min(c).alias(f"__{c}") for c in cell]
     )
     singles = (
@@ -141,7 +145,7 @@ def same_split_pick(
         .groupBy("split", *[F.col(f"__{c}").alias(c) for c in cell])
         .agg(F.count("*").alias("__kept"))
     )
-    ranked = keyed.join(singles, ["split", *cell], "left").withColumns(
+    ranked = rows.join(singles, ["split", *cell], "left").withColumns(
         {
             "__kept": F.coalesce("__kept", F.lit(0)),
             "__quality": rank_of(quality, D.QUALITY_ORDER),
@@ -153,7 +157,7 @@ def same_split_pick(
         ["split", "__key"],
         [F.col("__quality"), F.col("__kept"), F.col("__order"), F.col(id_col)],
     )
-    return kept.drop("__key", "__kept", "__quality", "__order")
+    return kept.select(*own)
 
 
 def external_candidates(df: DataFrame, key: Column, seed: int = 42) -> DataFrame:

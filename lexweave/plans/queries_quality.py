@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
+from lexweave.functions.stage import evaluate
 from lexweave.operators import quality as Q
 from lexweave.operators import splits as S
 from lexweave.operators.similar import Similarity, cross_split_anti, near_dup_pairs
@@ -162,7 +163,7 @@ def q_label_conflict(spark, d):
 )
 def q_drop_conflicts(spark, d):
     x = documents(spark, d, "doc_id", "text", "source")
-    return Q.drop_label_conflicts(x, folded(), "source").select("doc_id", "source")
+    return Q.drop_label_conflicts(x, folded(), "source", ["doc_id", "source"])
 
 
 @query(
@@ -209,10 +210,10 @@ def q_missing_files(spark, d):
     SELECT metric, value, count(*) AS n FROM y GROUP BY ALL""",
 )
 def q_norm_audit(spark, d):
-    x = documents(spark, d, "doc_id", "text", "lang").select(
+    x = evaluate(documents(spark, d, "doc_id", "text", "lang"), normalized_text=canonical()).select(
         F.col("doc_id").alias("id"),
         "text",
-        canonical().alias("normalized_text"),
+        "normalized_text",
         F.col("lang").alias("normalizer_region"),
         split_of(F.col("doc_id")).alias("split"),
     )
@@ -280,7 +281,7 @@ def q_group_first(spark, d):
       ORDER BY q, coalesce(kept, 0), {sql_key('id')}, id) = 1""",
 )
 def q_same_split_pick(spark, d):
-    return S.same_split_pick(samples(spark, d), folded()).select("id", "split")
+    return S.same_split_pick(samples(spark, d), folded(), columns=["id", "split"])
 
 
 @query(
@@ -371,7 +372,7 @@ def q_minimums(spark, d):
 def q_filter_report(spark, d):
     x = documents(spark, d, "doc_id", "text", "source", "n_chars")
     y = x.where("n_chars >= 200")
-    z = Q.drop_label_conflicts(y, folded(), "source")
+    z = Q.drop_label_conflicts(y, folded(), "source", ["source"])
     return Q.filter_report([("all", x), ("length", y), ("conflicts", z)])
 
 

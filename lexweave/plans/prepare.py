@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.rewrite import normalize_corpus, normalize_slots
 from lexweave.functions.stage import evaluate
 from lexweave.operators.contracts import slot_traceability
+from lexweave.operators.quality import text_key
 from lexweave.operators.splits import first_seen_conflicts, first_seen_dedupe
 
 TEXT_KEY = "normalized_text"
@@ -22,9 +23,16 @@ def normalized(df: DataFrame) -> DataFrame:
     )
 
 
-def preprocess(df: DataFrame) -> DataFrame:
-    """Normalise and keep the first row per text in train and validation; test stays whole."""
-    return first_seen_dedupe(normalized(df), F.col(TEXT_KEY), [F.col("id")])
+def preprocess(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """Normalise and keep the first row per text in train and validation; test stays whole.
+
+    With ``columns``, ``id`` and ``split`` among them, only these are carried to the choice, with the text's key.
+    """
+    rows = normalized(df)
+    if not columns:
+        return first_seen_dedupe(rows, F.col(TEXT_KEY), [F.col("id")])
+    slim = rows.select(*columns, text_key(F.col(TEXT_KEY)).alias("__text"))
+    return first_seen_dedupe(slim, F.col("__text"), [F.col("id")]).drop("__text")
 
 
 def preprocess_violations(df: DataFrame) -> DataFrame:
